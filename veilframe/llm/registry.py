@@ -1,6 +1,14 @@
 """Queries and oracles of the training-data operators."""
 
-from . import queries_op1
+from . import queries_op1, queries_op3, queries_op4
 
-QUERIES = {"op1_substring_dedup": queries_op1.op1_substring_dedup}
-ORACLES = {"op1_substring_dedup": queries_op1.ORACLE}
+QUERIES = {
+    "op1_substring_dedup": queries_op1.op1_substring_dedup,
+    "op3_minhash_near_dedup": queries_op3.op3_minhash_near_dedup,
+    "op4_block_naming": queries_op4.op4_block_naming,
+}
+ORACLES = {
+    "op1_substring_dedup": queries_op1.ORACLE,
+    "op3_minhash_near_dedup": queries_op3.ORACLE,
+    "op4_block_naming": queries_op4.ORACLE,
+}
