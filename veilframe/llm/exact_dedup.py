@@ -37,8 +37,8 @@ def squeezed(text: Column) -> Column:
 
 
 def _numbered(keys: DataFrame, cols: list[str], label: str) -> DataFrame:
-    """Distinct ``keys`` with integer names in sorted order."""
-    return materialise(keys.orderBy(*cols).withColumn("name", F.monotonically_increasing_id()), label)
+    """Distinct ``keys`` with integer names in sorted order; ranges are cut by the first column, an integer."""
+    return materialise(keys.repartitionByRange(cols[0]).sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
