@@ -7,14 +7,15 @@ has its whole word sequence as one shingle.  Documents are linked when
 1. One scan gives each document its set's size and a 128-bit identity, ``BANDS * ROWS`` MinHash minima
    folded into band keys, and the two low bits of every minimum packed into eight longs.
 2. Documents with equal sets are one class; only its smallest id goes on.
-3. Bands propose candidates.  In each bucket every member is paired with the smallest id only (a
+3. Bands propose candidates.  In each bucket every member is paired with one center, chosen by hash (a
    star), so a bucket costs as many pairs as it has members.
 4. The packed signatures estimate similarity by bit counts, corrected for the chance of 1/4 that
-   low bits agree by accident.  What is within five deviations of the threshold is confirmed on full sets.
-5. Components of confirmed links.  A bucket that still holds several components is open: members
-   outside its largest component are compared with the rest of it, estimated inside the join, and the
-   new links confirmed.  Members that are already connected need no further pair, so a group of many
-   near copies never expands into pairs and still loses no link that could join two components.
+   low bits agree by accident.  Of what is within five deviations of the threshold, each document's
+   NEAREST centers are confirmed on full sets; the links give components.
+5. A bucket that still holds several components is open: members outside its largest component are
+   compared with the rest of it.  Estimate and full sets are tested inside the join, so only
+   confirmed links leave it.  Members that are already connected need no further pair, so a group of
+   many near copies never expands into pairs and still loses no link that could join two components.
 
 At the threshold of 0.8 a pair is missed by all bands with probability (1 - 0.8**6)**40 = 5e-6.
 
@@ -39,6 +40,7 @@ BANDS, ROWS, BITS, LONGS = 40, 6, 2, 8
 DEVIATIONS = 5.0
 #: A list of at most so many (id, row) keys is sent to all tasks; a longer one is joined by shuffle.
 SENT_KEYS = 100_000
+NEAREST = 3
 SIG = [f"s{i}" for i in range(LONGS)]
 
 
@@ -126,17 +128,25 @@ def _allowed(percent: int) -> int:
     return int(k * p + DEVIATIONS * (k * p * (1 - p)) ** 0.5) + 1
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The links among candidate pairs (u, v), confirmed on full shingle sets."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+def _sets_of(ids: DataFrame, reps: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """Full shingle sets of the given ids, as a table (id, set)."""
     need = materialise(reps.select("id", "row").join(ids, "id", "left_semi"), "op3-need")
     if need.count() <= SENT_KEYS:
         need = F.broadcast(need)
     sets = texts.join(need, ["id", "row"], "left_semi").dropDuplicates(["id", "row"]).select("id", "text").mapInArrow(lambda it: _sets(it, n), f"id {texts.schema['id'].dataType.simpleString()}, set array<bigint>")
-    sets = materialise(sets, "op3-sets")
+    return materialise(sets, "op3-sets")
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+
+
+def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The links among candidate pairs (u, v), confirmed on full shingle sets."""
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), reps, texts, n)
     near = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    links = materialise(near.withColumn("both", both).where(f"100 * both >= {percent} * (size(a) + size(b) - both)").select("u", "v"), "op3-links")
+    links = materialise(near.where(_alike("a", "b", percent)).select("u", "v"), "op3-links")
     drop(sets)
     return links
 
@@ -153,45 +163,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialise(reps.select("id", "row", "n", *SIG, "keys"), "op3-reps")
 
     placed = reps.select("id", F.explode("keys").alias("key"))
-    lows = materialise(placed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"), "op3-buckets")
-    crowd = materialise(placed.join(lows, "key"), "op3-crowd")
-    drop(lows)
+    middle = F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id"))
+    buckets = placed.groupBy("key").agg(middle.alias("c"), F.min("id").alias("low"), F.max("id").alias("high"))
+    buckets = materialise(buckets.where("low < high").select("key", F.col("c.id").alias("center")), "op3-buckets")
+    crowd = materialise(placed.join(buckets, "key"), "op3-crowd")
+    drop(buckets)
     slim = reps.select("id", "n", *SIG)
     allowed = _allowed(percent)
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
 
-    def estimated(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(slim.alias("x"), F.col("u") == F.col("x.id")).join(slim.alias("y"), F.col("v") == F.col("y.id"))
-        sizes = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-        return near.where(sizes & (differing("x", "y") <= allowed)).select("u", "v")
-
-    stars = crowd.where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")).distinct()
-    stars = materialise(estimated(stars), "op3-stars")
+    stars = crowd.where("id <> center").select(F.col("id").alias("u"), F.col("center").alias("v")).distinct()
+    stars = stars.join(slim.alias("x"), F.col("u") == F.col("x.id")).join(slim.alias("y"), F.col("v") == F.col("y.id"))
+    stars = stars.where(sizes).select("u", "v", differing("x", "y").alias("apart")).where(F.col("apart") <= allowed)
+    best = F.slice(F.array_sort(F.collect_list(F.struct("apart", "v"))), 1, NEAREST)  # at most one center a band
+    stars = materialise(stars.groupBy("u").agg(best.alias("best")).select("u", F.explode("best.v").alias("v")), "op3-stars")
     links = _confirm(stars, reps, texts, n, percent)
+    drop(stars)
     roots = materialise(components(links), "op3-roots")
 
     at = crowd.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     at = materialise(at, "op3-at")
+    drop(crowd)
     share = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts"))
-    held = at.join(share.where("parts > 1").select("key", "main"), "key").join(slim, "id")
-    held = materialise(held, "op3-open")
-    drop(at, crowd)
+    held = materialise(at.join(share.where("parts > 1").select("key", "main"), "key").join(slim, "id"), "op3-open")
+    drop(at)
     x, y = held.where("root <> main").alias("x"), held.alias("y")
-    across = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id")))
-        & (F.col("x.n") * 100 >= F.col("y.n") * percent)
-        & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-        & (differing("x", "y") <= allowed)
-    )
-    more = x.join(y, across).select(F.greatest("x.id", "y.id").alias("u"), F.least("x.id", "y.id").alias("v")).distinct()
-    more = materialise(more.join(stars, ["u", "v"], "left_anti"), "op3-across")
-    drop(held, stars)
-    if not more.isEmpty():
-        extra = _confirm(more, reps, texts, n, percent)
-        merged = components(links.union(extra))
-        roots = materialise(merged, "op3-merged")
-    drop(more, links)
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & sizes & (differing("x", "y") <= allowed)
+    likely = materialise(x.join(y, across, "left_semi").select("key", "id").union(y.join(x, across, "left_semi").select("key", "id")).distinct(), "op3-likely")
+    if not likely.isEmpty():
+        sets = _sets_of(likely.select("id").distinct(), reps, texts, n)
+        full_rows = held.join(likely, ["key", "id"], "left_semi").join(sets, "id")
+        full_rows = materialise(full_rows, "op3-across")
+        x, y = full_rows.where("root <> main").alias("x"), full_rows.alias("y")
+        extra = materialise(x.join(y, across & _alike("x.set", "y.set", percent)).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct(), "op3-extra")
+        drop(full_rows, sets)
+        if not extra.isEmpty():
+            roots = materialise(components(links.union(extra)), "op3-merged")
+        drop(extra)
+    drop(likely, held, links)
 
     named = classes.select("one", "two", "n", F.col("rep.id").alias("node")).join(roots, "node", "left").select("one", "two", "n", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "op3-named")
