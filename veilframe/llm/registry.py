@@ -1,14 +1,19 @@
 """Queries and oracles of the training-data operators."""
 
-from . import queries_op1, queries_op3, queries_op4
+from . import queries_op1, queries_op3, queries_op4, queries_op5, queries_op6, queries_op7, queries_op8
 
 QUERIES = {
     "op1_substring_dedup": queries_op1.op1_substring_dedup,
     "op3_minhash_near_dedup": queries_op3.op3_minhash_near_dedup,
     "op4_block_naming": queries_op4.op4_block_naming,
+    "op5_toxicity": queries_op5.op5_toxicity,
+    "op6_bpe": queries_op6.op6_bpe,
+    "op7_language_id": queries_op7.op7_language_id,
+    "op8_url_reputation": queries_op8.op8_url_reputation,
 }
 ORACLES = {
     "op1_substring_dedup": queries_op1.ORACLE,
     "op3_minhash_near_dedup": queries_op3.ORACLE,
     "op4_block_naming": queries_op4.ORACLE,
+    "op8_url_reputation": queries_op8.ORACLE,
 }
