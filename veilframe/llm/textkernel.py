@@ -68,6 +68,29 @@ def _byte_table(seed: int, lower: bool) -> np.ndarray:
     return _TABLES[key]
 
 
+def _two_byte_lower() -> np.ndarray:
+    out = np.arange(0x800)
+    for cp in range(0x80, 0x800):
+        low = chr(cp).lower()
+        if len(low) == 1 and 0x80 <= ord(low) < 0x800:
+            out[cp] = ord(low)
+    return out
+
+
+_LOWER2 = _two_byte_lower()
+
+
+def lower_case(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with ASCII letters and letters of two bytes (Latin, Greek, Cyrillic) in lower case."""
+    out = _ASCII_LOWER[data]
+    at = np.flatnonzero((data[:-1] >= 0xC2) & (data[:-1] <= 0xDF))
+    if len(at):
+        cp = _LOWER2[((data[at].astype(np.int64) & 0x1F) << 6) | (data[at + 1] & 0x3F)]
+        out[at] = 0xC0 | (cp >> 6)
+        out[at + 1] = 0x80 | (cp & 0x3F)
+    return out
+
+
 class Words(NamedTuple):
     """Words of some documents: ``hash``, byte range in ``data``, and ``first[d]:first[d+1]`` per document."""
 
