@@ -189,12 +189,13 @@ def vocabulary(content: str) -> Vocabulary:
     return Vocabulary(content)
 
 
-def _encode(it: Iterator[pa.RecordBatch], content) -> Iterator[pa.RecordBatch]:
+def _encode(it: Iterator[pa.RecordBatch], content, check: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(content.value)
     for batch, data, offs in batches(it, most=2 << 20):
         texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
         ids = vocab.encode(texts)
-        yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+        exact = [vocab.decode(np.frombuffer(x, "<u4")) == data[a:b].tobytes() for x, a, b in zip(ids, offs[:-1], offs[1:], strict=True)] if check else [None] * len(ids)
+        yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(exact, pa.bool_())], ["id", "n_tokens", "ids", "exact"])
 
 
 def _decode(it: Iterator[pa.RecordBatch], content) -> Iterator[pa.RecordBatch]:
@@ -210,11 +211,14 @@ def _content(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, ids (binary: little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), exact.
+
+    With ``check``, ``exact`` says whether the ids decode to the very bytes of the text; else it is null.
+    """
     content = _content(docs, tokenizer)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lambda it: _encode(it, content), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return rows.mapInArrow(lambda it: _encode(it, content, check), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids binary, exact boolean")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
