@@ -1,8 +1,18 @@
 """Registered queries of the de-identification engine and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import queries_numeric, queries_pipeline, queries_text
+from .api import redact
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked text of every document."""
+    return redact(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "masked", F.octet_length("masked").alias("n_bytes"))
+
+
+QUERIES = queries_text.QUERIES | queries_numeric.QUERIES | queries_pipeline.QUERIES
+ORACLES = queries_text.ORACLES | queries_numeric.ORACLES | queries_pipeline.ORACLES
