@@ -28,7 +28,8 @@ CHUNK_BYTES = 1 << 20
 
 def raw_spans(texts: list[str], tok: Tokenizer, scorer: Scorer, config: Config) -> list[list[dict]]:
     """Spans of each text before selection."""
-    coded = [tok.encode(t) for t in texts]
+    with_ids = getattr(scorer, "needs_ids", True)
+    coded = [tok.encode(t, with_ids) for t in texts]
     ids, bounds = [c[0] for c in coded], [c[1] for c in coded]
     offsets = np.r_[0, np.cumsum([len(i) for i in ids])]
     lp = scorer(texts, ids, bounds)

@@ -34,6 +34,8 @@ def hits(text: str) -> list[tuple[int, int, int]]:
 class RuleScorer:
     """Log probabilities that favour the labels of rule matches; a token belongs to a match if they share a byte."""
 
+    needs_ids = False
+
     def __call__(self, texts: list[str], ids: list[np.ndarray], bounds: list[np.ndarray]) -> np.ndarray:
         total = sum(map(len, ids))
         label = np.zeros(total, np.int64)

@@ -39,16 +39,19 @@ class Tokenizer:
             for literal, i in SPECIALS.items():
                 self.sizes[i] = len(literal)
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, and token boundaries in bytes (one more than ids)."""
+    def encode(self, text: str, with_ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (zeros if they are not wanted and cost extra), and token boundaries in bytes (one more than ids)."""
         if self.encoding is not None:
             ids = np.asarray(self.encoding.encode(text, allowed_special="all") if self.specials else self.encoding.encode_ordinary(text), np.int64)
             sizes = self.sizes[ids]
         else:
             pieces = self._pieces(text)
-            raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
-            ids = np.array([SPECIALS[p] if self.specials and p in SPECIALS else _stable(r) for p, r in zip(pieces, raw, strict=True)], np.int64)
-            sizes = np.array([len(r) for r in raw], np.int64)
+            ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            if with_ids:
+                ids = np.array([SPECIALS[p] if self.specials and p in SPECIALS else _stable(p.encode("utf-8", "surrogatepass")) for p in pieces], np.int64)
+            else:
+                ids = np.zeros(len(pieces), np.int64)
+            return ids, np.r_[0, ends if text.isascii() else byte_offsets(text)[ends]]
         return ids, np.r_[0, np.cumsum(sizes)]
 
     def _pieces(self, text: str) -> list[str]:
@@ -63,6 +66,12 @@ class Tokenizer:
         return out
 
 
+def byte_offsets(text: str) -> np.ndarray:
+    """Byte offset of every character and of the end."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.r_[0, np.cumsum(1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000))]
+
+
 def _stable(raw: bytes) -> int:
     import zlib
 
