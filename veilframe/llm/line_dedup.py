@@ -63,7 +63,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     gone = lines.join(wide, ["h1", "h2"]).where("id <> first").groupBy("id", "row").agg(F.collect_set("at").alias("gone"))
     gone = materialise(gone, "op10-gone")
     drop(lines, wide)
-    return gone
+    return gone.hint("merge")  # one plan at every size: a list that happens to be small is not broadcast
 
 
 def without_lines(text: Column, gone: Column) -> Column:
