@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 SF = "/root/testdata/sf0.001"
 
@@ -32,14 +32,3 @@ def duck():
     for f in glob.glob(f"{SF}/*.parquet"):
         c.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
     return c
-
-
-def same_rows(spark_df, duck_df):
-    """Compare results by sorted columns and rows."""
-    import pandas as pd
-
-    got = spark_df.toPandas()
-    cols = sorted(got.columns)
-    assert cols == sorted(duck_df.columns)
-    order = lambda df: df[cols].sort_values(cols).reset_index(drop=True)
-    pd.testing.assert_frame_equal(order(got), order(duck_df), check_dtype=False)

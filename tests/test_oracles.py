@@ -1,10 +1,12 @@
 """Every query of the engine with SQL agrees with it; the others run."""
 
 import pytest
-from conftest import SF, same_rows
+from comparing import same_rows
 
 from veilframe.plans.catalogue import ORACLES, QUERIES
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):

@@ -1,4 +1,4 @@
-"""Make this package importable in Python workers on every executor."""
+"""Set up a session for Python stages: the package on every executor, Arrow batches bounded in bytes."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _done: set[str] = set()
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application."""
+    """Send the package to the executors and bound Arrow batches, once per application.
+
+    Rows are texts of any length, so a batch of a fixed number of rows can be large; its bytes are limited instead.
+    """
     app = spark.sparkContext.applicationId
     if app in _done:
         return
@@ -23,4 +27,5 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     spark.sparkContext.addPyFile(target)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     _done.add(app)
