@@ -8,9 +8,11 @@ is one window.  Each window is also taken with names left literal, so a passage
 its source.
 
 Windows of benchmark and documents are joined on 128-bit hashes of their templates.  Slots must agree: equal
-fillers in one must be equal in the other, and different ones different.  Each window carries the pattern of
-first occurrences of its fillers (``0,1,0``), so agreement is equality of patterns.  A question whose numbers
-or names were replaced throughout is thus caught, one with contradictory fillers is not.
+fillers in one must be equal in the other, and different ones different.  Windows of a document that match one item
+in one alignment form a run, and this is asked of all fillers of a run.  A question whose numbers or names were
+replaced throughout is thus caught; where fillers contradict each other, only windows without slots, which are
+literal copies, count.  Benchmark windows of one template are kept once for each pattern of their own
+fillers (places of first occurrence, ``0,1,0``), from the smallest item.
 
 Before the join, documents are sieved by a bit map of benchmark hashes of fixed size (``SIEVE`` bits), the only
 thing broadcast; false hits only cost rows.  A benchmark window in a third of all documents gives one row per
@@ -52,6 +54,7 @@ _LOWER[0x61:0x7B] = True
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;\n\"|"]] = True
 _NUMBER, _UNIT, _NAME = 1, 2, 3
+_NONE = np.zeros(0, U64)
 _MARK = mix64(np.array([0, 101, 102, 103], U64))
 
 
@@ -119,8 +122,8 @@ def pattern(fillers: np.ndarray) -> str:
     return ",".join(str(seen.setdefault(int(x), len(seen))) for x in fillers)
 
 
-def _found(t: Typed, k: int, names: bool, keep) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]]:
-    """Token place, two hashes and pattern of the windows of ``k`` tokens that ``keep`` lets through."""
+def _found(t: Typed, k: int, names: bool, keep) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[list[int]]]]:
+    """Token place, two hashes, pattern and fillers of the windows of ``k`` tokens that ``keep`` lets through."""
     h, slot = t.templates(names)
     one = _grams(h, k, 41)
     if not len(one):
@@ -133,8 +136,8 @@ def _found(t: Typed, k: int, names: bool, keep) -> Iterator[tuple[np.ndarray, np
     if len(at):
         c = odd_constants(k, 42)
         two = mix64(sum((h[at + j] * c[j] for j in range(k)), np.zeros(len(at), U64)))
-        # the type is part of a filler, the typed token itself is not
-        yield at, one[at], two, [pattern(t.hash[i : i + k][slot[i : i + k]]) if many[i + k] > many[i] else "" for i in at]
+        fill = [t.hash[i : i + k][slot[i : i + k]] if many[i + k] > many[i] else _NONE for i in at]
+        yield at, one[at], two, [pattern(f) if len(f) else "" for f in fill], [signed(f).tolist() for f in fill]
 
 
 def _bench(it: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -145,12 +148,16 @@ def _bench(it: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa
         doc = np.repeat(np.arange(batch.num_rows), size)
         for k in sorted({length} | set(size[(size >= least) & (size < length)].tolist())):
             for names in (True, False):
-                for at, one, two, shape in _found(t, k, names, everything):
+                for at, one, two, shape, fill in _found(t, k, names, everything):
                     use = np.flatnonzero(size[doc[at]] == k) if k < length else np.arange(len(at))
+                    item = doc[at[use]]
                     yield pa.record_batch(
-                        [batch.column(0).take(pa.array(doc[at[use]])), pa.array(np.full(len(use), k, np.int32)), pa.array(signed(one[use])), pa.array(signed(two[use])), pa.array([shape[i] for i in use], pa.string())],
-                        ["item", "k", "one", "two", "shape"],
-                    )
+                        [
+                            batch.column(0).take(pa.array(item)), pa.array((at[use] - t.first[item]).astype(np.int32)), pa.array(np.full(len(use), k, np.int32)), pa.array(signed(one[use])), pa.array(signed(two[use])),
+                            pa.array([shape[i] for i in use], pa.string()), pa.array([fill[i] for i in use], pa.list_(pa.int64())),
+                        ],
+                        ["item", "at", "k", "one", "two", "shape", "fill"],
+                    )
 
 
 def _search(it: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
@@ -167,12 +174,15 @@ def _search(it: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
         t = Typed(data, offs)
         for k in lengths:
             for names in (True, False) if (t.kind == _NAME).any() else (False,):
-                for at, one, two, shape in _found(t, k, names, keep):
+                for at, one, two, _, fill in _found(t, k, names, keep):
                     doc = np.searchsorted(t.first, at, side="right") - 1
                     yield pa.record_batch(
-                        [batch.column(0).take(pa.array(doc)), pa.array((at - t.first[doc]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(signed(one)), pa.array(signed(two)), pa.array(shape, pa.string())],
-                        ["id", "at", "k", "one", "two", "shape"],
-                    )
+                        [
+                            batch.column(0).take(pa.array(doc)), pa.array((at - t.first[doc]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(signed(one)), pa.array(signed(two)),
+                            pa.array(fill, pa.list_(pa.int64())),
+                        ],
+                        ["id", "at", "k", "one", "two", "fill"],
+                    )
 
 
 def _sieve_bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +206,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     item_type, id_type = items.schema["item"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    bench = items.mapInArrow(lambda it: _bench(it, length, least), f"item {item_type}, k int, one long, two long, shape string")
-    bench = materialise(bench.groupBy("k", "one", "two", "shape").agg(F.min("item").alias("item")), "op9-benchmark")
+    bench = items.mapInArrow(lambda it: _bench(it, length, least), f"item {item_type}, at int, k int, one long, two long, shape string, fill array<long>")
+    bench = bench.groupBy("k", "one", "two", "shape").agg(F.min(F.struct("item", "at", "fill")).alias("b"))
+    bench = materialise(bench.select("k", "one", "two", "shape", "b.item", F.col("b.at").alias("item_at"), F.col("b.fill").alias("item_fill")), "op9-benchmark")
     places = bench.select("k", "one").mapInArrow(_sieve_bits, "k int, place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits"))
     got = places.toPandas()  # at most SIEVE / 8 rows, however large the benchmark
     bits = np.zeros(SIEVE // 8, np.uint8)
     bits[got["place"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
     lengths = sorted(r["k"] for r in bench.select("k").distinct().collect())  # at most ``length`` values
     sent = spark.sparkContext.broadcast((lengths, bits.tobytes()))
-    hits = rows.mapInArrow(lambda it: _search(it, sent), f"id {id_type}, at int, k int, one long, two long, shape string")
-    match = hits.join(bench, ["k", "one", "two", "shape"])
-    return match.groupBy("id").agg(F.min("item").alias("item"), F.countDistinct("at").alias("n_windows"), F.min("at").alias("first_token"))
+    hits = rows.mapInArrow(lambda it: _search(it, sent), f"id {id_type}, at int, k int, one long, two long, fill array<long>")
+    match = hits.join(bench, ["k", "one", "two"]).withColumn("run", F.col("at") - F.col("item_at"))
+    pairs = F.explode_outer(F.arrays_zip("item_fill", "fill"))
+    each = match.select("id", "item", "run", "at", (F.size("fill") == 0).alias("literal"), pairs.alias("p")).groupBy("id", "item", "run", "at", "literal", "p").agg(F.lit(1).alias("one"))
+    runs = each.groupBy("id", "item", "run").agg(
+        F.countDistinct("p").alias("pairs"), F.countDistinct("p.item_fill").alias("left"), F.countDistinct("p.fill").alias("right"), F.collect_set("at").alias("all"), F.collect_set(F.when(F.col("literal"), F.col("at"))).alias("plain")
+    )  # places of one alignment: at most as many as the item has windows
+    agree = (F.col("pairs") == F.col("left")) & (F.col("pairs") == F.col("right"))
+    counted = runs.select("id", "item", F.explode(F.when(agree, F.col("all")).otherwise(F.col("plain"))).alias("at"))
+    return counted.groupBy("id").agg(F.min("item").alias("item"), F.countDistinct("at").alias("n_windows"), F.min("at").alias("first_token"))

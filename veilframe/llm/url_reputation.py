@@ -76,7 +76,7 @@ def strength(rows: DataFrame, bad: str = "bad", n: str = "n") -> DataFrame:
     m = (F.col("b") + 0.5) / (F.col("t") + 1)
     spread = F.col("q") - F.col("b").cast("double") * F.col("b") / F.greatest("t", F.lit(1))  # sum of n (p - mean)^2
     v = m * (1 - m)
-    rho = (spread - v * (F.col("k") - 1)) / (v * (F.col("t") - F.col("nn") / F.greatest("t", F.lit(1)) - F.col("k") + 1))
+    rho = F.try_divide(spread - v * (F.col("k") - 1), v * (F.col("t") - F.col("nn") / F.greatest("t", F.lit(1)) - F.col("k") + 1))
     rho = F.when(F.col("k") > 1, F.least(F.greatest(F.coalesce(rho, F.lit(0.5)), F.lit(0.01)), F.lit(0.9))).otherwise(0.5)
     return sums.select(m.alias("m"), (1 / rho - 1).alias("s"))
 
