@@ -131,24 +131,31 @@ def _rows(it: Iterator[pa.RecordBatch], keys) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(batch.schema.get_field_index("toxic")), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(p.astype(np.int32)))], ["toxic", "at"])
 
 
-def fit(y: np.ndarray, at: np.ndarray, cut: np.ndarray, swaps: np.ndarray, shares: tuple[float, float], n: int, ridge: float = 1e-4, counterfactual: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+class Swaps(NamedTuple):
+    """Changes of features when one identity term takes another's place."""
+
+    places: np.ndarray  # features that any swap touches
+    change: np.ndarray  # swap x place: +1 goes out, -1 comes in
+    weight: np.ndarray  # share of the sampled texts in which the swap can be made
+
+
+def fit(y: np.ndarray, at: np.ndarray, cut: np.ndarray, swaps: Swaps, shares: tuple[float, float], n: int, ridge: float = 1e-4, counterfactual: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch adaptive gradient steps.
 
-    ``swaps`` holds rows (feature out, feature in, weight): the logit change of a swap is the difference of
-    the two sums of weights, and its square is penalised.
+    The loss adds ``counterfactual`` times the mean square of the logit's change over all swaps of the texts.
     """
     w, b = np.zeros(n), float(np.log(max(shares[1], 1e-9) / max(shares[0], 1e-9)))
     weight = np.where(y == 1, shares[1] / max(y.sum(), 1), shares[0] / max((1 - y).sum(), 1))
     size = np.diff(cut)
+    row = np.repeat(np.arange(len(y)), size)
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(np.repeat(np.arange(len(y)), size), w[at], len(y)) + b
+        z = np.bincount(row, w[at], len(y)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
         g = np.bincount(at, np.repeat(err, size), n) + ridge * w
-        if len(swaps):
-            a, c = swaps[:, 0].astype(int), swaps[:, 1].astype(int)
-            change = counterfactual * swaps[:, 2] * (w[a] - w[c])
-            g += np.bincount(a, change, n) - np.bincount(c, change, n)
+        if len(swaps.places):
+            moved = swaps.change @ w[swaps.places]
+            g[swaps.places] += 2 * counterfactual * (swaps.change.T @ (swaps.weight * moved))
         gb = err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -189,21 +196,26 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(keys, w, b)
 
 
-def _swaps(terms: list[list[np.ndarray]], keys: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
-    """Swap of each term with each other of its list, weighted by how many sampled texts hold it.
+def _swaps(terms: list[list[np.ndarray]], keys: np.ndarray, at: np.ndarray, rows: int) -> Swaps:
+    """All swaps of a term for another of its list.
 
-    A term's whole-token feature stands for it; terms that no text holds keep a small weight, so that
-    a term seen first in scoring is bound to the others as well.
+    A swap weighs as much as the share of sampled texts that hold the term; a term that none holds keeps a small
+    weight, so that one seen first in scoring is bound to the others as well.
     """
     held = np.bincount(at, minlength=len(keys)) / max(rows, 1)
-    out = []
+    places = np.unique(np.searchsorted(keys, np.concatenate([k for group in terms for k in group])))
+    change, weight = [], []
     for group in terms:
-        places = [np.searchsorted(keys, g) for g in group]
-        for x, a in enumerate(places):
-            for y, c in enumerate(places):
+        own = [np.searchsorted(places, np.searchsorted(keys, k)) for k in group]
+        for x, out in enumerate(own):
+            for y, into in enumerate(own):
                 if x != y:
-                    out += [(i, j, (held[a].max() + 0.01) / len(a) / len(c)) for i in a for j in c if i != j]
-    return np.array(out) if out else np.zeros((0, 3))
+                    row = np.zeros(len(places))
+                    row[out] += 1
+                    row[into] -= 1
+                    change.append(row)
+                    weight.append(held[places[out]].min() + 0.01)
+    return Swaps(places, np.array(change).reshape(-1, len(places)), np.array(weight))
 
 
 def _score(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
