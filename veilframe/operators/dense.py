@@ -21,10 +21,13 @@ def gather(ids: DataFrame, table: DataFrame) -> DataFrame:
     return ids.join(table, "id").select("pos", "id", "vec")
 
 
-def project(rows: DataFrame, weights: DataFrame, bias: Column | None = None) -> DataFrame:
-    """Matrix product: (pos, o, y) from rows (pos, vec) and weight rows (o, w); weights are bounded by the model."""
-    y = dot(F.col("vec"), F.col("w"))
-    return rows.join(F.broadcast(weights)).select("pos", "o", (y if bias is None else y + bias).alias("y"))
+def project(rows: DataFrame, weights: DataFrame) -> DataFrame:
+    """Matrix product: (pos, o, y) from rows (pos, vec) and weights (o, i, w), joined on the inner index.
+
+    A weight table has the model's size, not the data's, so it is broadcast; sums are combined before the shuffle.
+    """
+    entries = rows.select("pos", F.posexplode("vec").alias("i", "x"))
+    return entries.join(F.broadcast(weights), "i").groupBy("pos", "o").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
 
 
 def band_pairs(rows: DataFrame, band: int) -> DataFrame:

@@ -82,8 +82,8 @@ def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product with the ten class means as weight rows."""
     rows = _vectors(spark, sf_dir)
-    means = rows.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("w"))
-    out = dense.project(rows.select(F.col("vec_id").alias("pos"), "vec"), means.select(F.col("label").alias("o"), "w"))
+    means = rows.select("label", F.posexplode("vec").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("w"))
+    out = dense.project(rows.select(F.col("vec_id").alias("pos"), "vec"), means.select(F.col("label").alias("o"), "i", "w"))
     return out.select(F.col("pos").alias("vec_id"), "o", F.round("y", ROUND).alias("y"))
 
 
