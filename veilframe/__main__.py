@@ -16,6 +16,7 @@ from .config import Config
 from .operators.tokens import bpe_tokens
 from .plans import api
 from .schema import DOCS
+from .serve import server
 from .shipping import ship
 from .sources import readers
 from .sources.sinks import token_dump
@@ -34,6 +35,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--vocabulary", help="rank file; without it pretokens are tokens")
     p.add_argument("--ctx", type=int, default=Config.n_ctx)
     p.add_argument("--batch", type=int, default=Config.batch)
+    p.add_argument("--serve", type=int, metavar="PORT", help="answer HTTP requests on this machine instead")
+    p.add_argument("--linger", type=int, default=Config.linger_ms, help="milliseconds to gather requests")
     p.add_argument("--skip-beta", type=float, default=0.0)
     return p
 
@@ -49,9 +52,11 @@ def documents(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    config = Config(n_ctx=args.ctx, batch=args.batch, argmax=args.argmax, skip_beta=args.skip_beta, vocabulary=args.vocabulary)
+    config = Config(n_ctx=args.ctx, batch=args.batch, argmax=args.argmax, skip_beta=args.skip_beta, vocabulary=args.vocabulary, linger_ms=args.linger)
     spark = SparkSession.builder.appName("veilframe").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     ship(spark)
+    if args.serve is not None:
+        server(args.serve, config, read_ranks(spark, config.vocabulary) if config.vocabulary else None).serve_forever()
     began = time.time()
     docs = documents(spark, args)
     if args.dump_tokens:

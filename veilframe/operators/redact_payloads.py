@@ -19,7 +19,8 @@ MAX_BODY = 64 << 20
 HEALTHY, UNKNOWN, INVALID, TOO_LARGE = b'{"status":"ok"}', b'{"error":"unknown route"}', b'{"error":"invalid JSON"}', b'{"error":"payload too large"}'
 
 
-def _reply(method: str | None, route: str | None, body: bytes, strict: bool) -> tuple[int, bytes, list[Field]]:
+def reply(method: str | None, route: str | None, body: bytes, strict: bool) -> tuple[int, bytes, list[Field]]:
+    """Status, body to send as it is, and the strings to mask (if any) of one request."""
     if method == "GET":
         return 200, HEALTHY, []
     if len(body) > MAX_BODY:
@@ -32,16 +33,17 @@ def _reply(method: str | None, route: str | None, body: bytes, strict: bool) ->
         return 400, INVALID, []
 
 
-def _well_formed(value: str) -> str:
-    return value.encode("utf-8", "surrogatepass").decode("utf-8", "replace") if any("\ud800" <= c <= "\udfff" for c in value) else value
+def well_formed(value: str) -> str:
+    """The text that is scored: lone surrogates, which no encoder takes, as replacement characters of the same width."""
+    return "".join("\ufffd" if "\ud800" <= c <= "\udfff" else c for c in value)
 
 
 def _redact(it: Iterator[pa.RecordBatch], ranks, config: Config, make_scorer: Callable[[Config], Scorer], strict: bool) -> Iterator[pa.RecordBatch]:
     tok, scorer = tokenizer(ranks, config.specials), make_scorer(config)
     for batch in it:
-        replies = [_reply(m, r, b or b"", strict) for m, r, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
+        replies = [reply(m, r, b or b"", strict) for m, r, b in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
         texts = [f.value for _, _, fields in replies for f in fields]  # strings of all requests are scored together
-        masked = iter(v if not s else span_lists.mask(v, s) for v, s in zip(texts, (span_lists.select(s, config.span_cap) for s in raw_spans([_well_formed(t) for t in texts], tok, scorer, config)) if texts else (), strict=True))
+        masked = iter(v if not s else span_lists.mask(v, s) for v, s in zip(texts, (span_lists.select(s, config.span_cap) for s in raw_spans([well_formed(t) for t in texts], tok, scorer, config)) if texts else (), strict=True))
         out = [(code, splice(body, fields, [next(masked) for _ in fields]) if fields else body) for code, body, fields in replies]
         yield pa.record_batch([batch.column(0), pa.array([c for c, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["payload_id", "status", "body"])
 
