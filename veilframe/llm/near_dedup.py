@@ -189,13 +189,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop(at)
     x, y = held.where("root <> main").alias("x"), held.alias("y")
     across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & sizes & (differing("x", "y") <= allowed)
-    likely = materialise(x.join(y, across, "left_semi").select("key", "id").union(y.join(x, across, "left_semi").select("key", "id")).distinct(), "op3-likely")
+    likely = materialise(x.join(y, across, "left_semi").select("key", "id").union(y.join(x, across, "left_semi").select("key", "id")), "op3-likely")
     if not likely.isEmpty():
         sets = _sets_of(likely.select("id").distinct(), reps, texts, n)
-        full_rows = held.join(likely, ["key", "id"], "left_semi").join(sets, "id")
+        full_rows = held.join(likely, ["key", "id"], "left_semi").join(sets, "id").join(reps.select("id", "keys"), "id")
         full_rows = materialise(full_rows, "op3-across")
         x, y = full_rows.where("root <> main").alias("x"), full_rows.alias("y")
-        extra = materialise(x.join(y, across & _alike("x.set", "y.set", percent)).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct(), "op3-extra")
+        shared = F.filter(F.zip_with("x.keys", "y.keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
+        here = F.get(shared, F.lit(0)) == F.col("x.key")  # of several common buckets, a pair is tested in the first
+        extra = materialise(x.join(y, across & here & _alike("x.set", "y.set", percent)).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")), "op3-extra")
         drop(full_rows, sets)
         if not extra.isEmpty():
             roots = materialise(components(links.union(extra)), "op3-merged")
@@ -204,6 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = classes.select("one", "two", "n", F.col("rep.id").alias("node")).join(roots, "node", "left").select("one", "two", "n", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "op3-named")
+    drop(reps, roots)
     out = base.where("n > 0").select("id", "n", "one", "two").join(named, ["one", "two", "n"]).select("id", "n", F.when(F.col("id").isNotNull(), F.col("root")).alias("component"))
     alone = base.where("n = 0").select("id", "n", F.col("id").alias("component"))
     lost = base.where("n > 0 and id is null").select("id", "n", "one", "two").join(classes, ["one", "two", "n"], "left_anti").select("id", "n", F.col("id").alias("component"))
