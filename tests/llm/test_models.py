@@ -146,8 +146,10 @@ def test_bpe_on_odd_texts(spark, odd, nothing):
         text = "".join(rng.choice(pieces + [chr(c) for c in rng.integers(1, 0xD7FF, 10)], rng.integers(0, 20)))
         ids = lib.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(vocab.encode([text])[0], "<u4").tolist() == ids
-    vocab.table = {str(i): b"" for i in range(bpe.TABLE)}  # a full table is emptied, not consulted
-    assert np.frombuffer(vocab.encode(["hello there"])[0], "<u4").tolist() == lib.encode("hello there").ids
+    vocab.table = vocab.table | {str(i): b"" for i in range(bpe.TABLE)}  # full: it becomes the old table
+    for text in ("hello there", "hello you there"):
+        assert np.frombuffer(vocab.encode([text])[0], "<u4").tolist() == lib.encode(text).ids
+    assert len(vocab.table) < 10 and len(vocab.old) >= bpe.TABLE
     out = bpe.encode(odd, path, check=True).toPandas()
     assert len(out) == odd.count() and out.exact.all() and (out.n_tokens == out.ids.map(len) // 4).all()
     assert bpe.decode(bpe.encode(nothing, path), path).count() == 0

@@ -6,8 +6,9 @@ ascending order from a heap; one step merges every listed position of that pair,
 its left and right enter the index anew.  In a vocabulary whose merged token never has a lower rank
 than the merges that build it (checked on loading), this equals merging each pretoken by itself.
 
-Pretokens repeat, so their ids are kept in a table per worker, emptied when it is full; that changes
-speed only.  There is no shuffle.  Texts are handled whole.
+Pretokens repeat, so their ids are kept in a table per worker.  When it is full it becomes the old table and a new one
+starts; what is met again moves over, so frequent pretokens stay.  That changes speed only.  There is no
+shuffle.  Texts are handled whole.
 
 The vocabulary is a file of the ``tokenizers`` JSON format; its path is a parameter.  It is sent to
 the tasks as a broadcast of the file's content, whose size is fixed by the vocabulary.
@@ -38,7 +39,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BEYOND_LATIN = regex.compile(r"[^\x00-\u024f]")
 
-TABLE = 400_000
+TABLE = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -76,13 +77,19 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(parts), np.uint8)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.table: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, pretokens: Iterable[str]) -> None:
         """Encode pretokens that the table lacks, all of them in one index."""
-        new = [p for p in pretokens if p not in self.table]
-        if len(self.table) + len(new) > TABLE:
-            self.table.clear()
+        table, old = self.table, self.old
+        new = [p for p in pretokens if p not in table]
+        if len(table) + len(new) > TABLE:
+            self.old, self.table = old, table = table, {}
             new = list(pretokens)
+        if old:
+            met = [p for p in new if p in old]
+            table.update((p, old[p]) for p in met)
+            new = [p for p in new if p not in table]
         if not new:
             return
         sym: list[int] = []
@@ -146,7 +153,7 @@ class Vocabulary:
         live = ids >= 0
         cut = np.r_[0, np.cumsum(live)][first] * 4
         packed = ids[live].astype("<u4").tobytes()
-        self.table.update((p, packed[a:b]) for p, a, b in zip(new, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        table.update((p, packed[a:b]) for p, a, b in zip(new, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
 
     def pretokens(self, text: str) -> list[str]:
         if _BEYOND_LATIN.search(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
