@@ -10,18 +10,11 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions.spans import byte_slice, mask, select_spans, spans_json
 from ..operators.detect import Scorer, detect_raw, rule_scorer
+from ..operators.partitioning import spread
 from ..schema import CATEGORIES
 from ..sources.vocabulary import read_ranks
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores where it comes in fewer partitions than that, as one small file does; else unchanged."""
-    if docs.isStreaming:
-        return docs
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-
-
 def detect(docs: DataFrame, config: Config | None = None, make_scorer: Callable[[Config], Scorer] = rule_scorer) -> DataFrame:
     """doc_id, text, spans: selected spans of each document with byte offsets."""
     config = config or Config()

@@ -13,6 +13,7 @@ from ..config import Config
 from ..functions.pretokens import pretokens
 from ..functions.spans import select_spans as select_spans_column
 from ..operators.detect import decode_labels
+from ..operators.partitioning import spread
 from ..operators.redact_payloads import redact_payloads
 from ..operators.segments import pack_column, segments, windows
 from ..operators.tokens import bpe_tokens
@@ -27,7 +28,7 @@ WINDOW, BUDGET = 100, 256
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +145,7 @@ def stream_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     docs = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
-    start_redaction(docs, lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/checkpoint", once=True).awaitTermination()
+    start_redaction(docs.select("doc_id", "text"), lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("doc_id", "masked")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.pretokens import byte_ranges, pretokens, sections
 from ..functions.spans import json_escaped, placeholder, trimmed
 from ..functions.unicode_classes import CLASSES, count_class
+from ..operators.partitioning import spread
 from ..schema import CATEGORIES
 from ..sources import readers
 
@@ -35,7 +36,7 @@ def pretokens_sql(text: str) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

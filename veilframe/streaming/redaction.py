@@ -25,8 +25,8 @@ def start_replies(payloads: DataFrame, out: str, checkpoint: str, config: Config
 
 
 def start_redaction(docs: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, config: Config | None = None, once: bool = False) -> StreamingQuery:
-    """Hand each micro-batch of redacted documents to ``sink`` (batch, number)."""
+    """Hand each micro-batch of redacted documents to ``sink`` (batch, number); a small batch is spread over the cores."""
     config = config or Config()
-    writer = redact(docs, config).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    writer = docs.writeStream.foreachBatch(lambda batch, n: sink(redact(batch, config), n)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.linger_ms} milliseconds")
     return writer.start()
