@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
@@ -23,10 +25,30 @@ def compiled():
     return regex.compile(python_pattern())
 
 
+_PLAIN = re.compile(r"[^\x00-\u024f]")
+_UNASSIGNED = "\u0378"  # in every Unicode version so far
+
+
+def find_pretokens(text: str) -> list[str]:
+    """Pretokens by Python's ``regex``, with classes of the Unicode version of ``unicodedata``.
+
+    ``regex`` may know later characters; those stand for unassigned ones while matching, one for one.
+    """
+    if not _PLAIN.search(text):
+        return compiled().findall(text)
+    late = [c for c in set(text) if unicodedata.category(c) == "Cn"]
+    if not late:
+        return compiled().findall(text)
+    out, at = [], 0
+    for piece in compiled().findall(text.translate(dict.fromkeys(map(ord, late), _UNASSIGNED))):
+        out.append(text[at : at + len(piece)])
+        at += len(piece)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _python_pretokens(texts: pd.Series) -> pd.Series:
-    find = compiled().findall
-    return texts.map(lambda t: None if t is None else find(t))
+    return texts.map(lambda t: None if t is None else find_pretokens(t))
 
 
 def pretokens(text: Column, fallback: bool = False) -> Column:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pretokens import SPECIALS, compiled
+from ..functions.pretokens import SPECIALS, find_pretokens
 from ..functions.unicode_classes import python_pattern
 
 
@@ -55,14 +55,13 @@ class Tokenizer:
         return ids, np.r_[0, np.cumsum(sizes)]
 
     def _pieces(self, text: str) -> list[str]:
-        find = compiled().findall
         if not self.specials or "<|endof" not in text:
-            return find(text)
+            return find_pretokens(text)
         import regex
 
         out: list[str] = []
         for part in regex.split("(" + "|".join(map(regex.escape, SPECIALS)) + ")", text):
-            out += [part] if part in SPECIALS else find(part)
+            out += [part] if part in SPECIALS else find_pretokens(part)
         return out
 
 
