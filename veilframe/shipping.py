@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _done: set[str] = set()
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
