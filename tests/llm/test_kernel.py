@@ -39,3 +39,17 @@ def test_lower_case_of_two_byte_letters():
     text = "ÀÉß Ωμ ДЖ İ 中 Zz"
     got = k.lower_case(np.frombuffer(text.encode(), np.uint8)).tobytes().decode()
     assert got == "àéß ωμ дж İ 中 zz"
+
+
+def test_bytes_that_are_not_utf8(spark):
+    from pyspark.sql import functions as F
+
+    from veilframe.llm import brown_lm, decontamination, language_id, near_dedup, substring_dedup
+
+    df = spark.createDataFrame([(1, bytearray(b"a\xff b\xc3 " + b"w " * 20)), (2, bytearray(b"a\xff b\xc3 " + b"w " * 20))], "doc_id long, raw binary")
+    df = df.select("doc_id", F.col("raw").cast("string").alias("text"), F.lit("en").alias("lang"))
+    assert [r["n_removed"] for r in substring_dedup.dedup_substrings(df).select("id", "n_removed").orderBy("id").collect()] == [0, 22]
+    assert [r["component"] for r in near_dedup.near_duplicates(df).collect()] == [1, 1]
+    assert brown_lm.score(df, *brown_lm.train(df)).count() == 2
+    assert language_id.identify(df, language_id.learn(df)).count() == 2
+    assert decontamination.contaminated(df, df.withColumnRenamed("doc_id", "item_id")).count() == 2

@@ -39,7 +39,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BEYOND_LATIN = regex.compile(r"[^\x00-\u024f]")
 
-TABLE = 300_000
+TABLE = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -198,7 +198,7 @@ def vocabulary(content: str) -> Vocabulary:
 
 def _encode(it: Iterator[pa.RecordBatch], content, check: bool) -> Iterator[pa.RecordBatch]:
     vocab = vocabulary(content.value)
-    for batch, data, offs in batches(it, most=2 << 20):
+    for batch, data, offs in batches(it):
         texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:], strict=True)]
         ids = vocab.encode(texts)
         exact = [vocab.decode(np.frombuffer(x, "<u4")) == data[a:b].tobytes() for x, a, b in zip(ids, offs[:-1], offs[1:], strict=True)] if check else [None] * len(ids)

@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tables import drop, materialise
-from .textkernel import U64, Words, batches, grams, mix64, odd_constants, signed, words
+from .textkernel import U64, Words, as_text, batches, grams, mix64, odd_constants, signed, words
 
 LENGTH = 13
 K = 5
@@ -58,7 +59,7 @@ def _chosen(w: Words, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _anchors(it: Iterator[pa.RecordBatch], length: int, k: int, full: bool) -> Iterator[pa.RecordBatch]:
-    power = np.cumprod(np.full(1, 1, U64))
+    power = np.ones(1, U64)
     base, back = U64(0x9FB21C651E98DF25), U64(pow(0x9FB21C651E98DF25, -1, 1 << 64))
     inverse = power
     for batch, data, offs in batches(it):
@@ -92,7 +93,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    sizes = np.zeros(n, np.int64) if not n else np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)).astype(np.int64)
+    sizes = np.zeros(n, np.int64) if not n else np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
     return np.asarray(column.flatten()), np.r_[0, np.cumsum(sizes)]
 
 
@@ -140,7 +141,6 @@ def _removed(it: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.R
             np.add.at(delta, s, 1)
             np.add.at(delta, s + length, -1)
         gone = np.cumsum(delta[:-1]) > 0
-        edge = np.diff(np.r_[False, gone, False].astype(np.int8))
         many = np.r_[0, np.cumsum(gone)]
         texts, spans = [], []
         for d in range(batch.num_rows):
@@ -157,14 +157,13 @@ def _removed(it: Iterator[pa.RecordBatch], length: int, k: int) -> Iterator[pa.R
         yield pa.record_batch(
             [
                 batch.column(0),
-                pa.array(texts, pa.binary()).cast(pa.string()),
+                as_text(texts),
                 pa.array(np.diff(w.first)),
                 pa.array(many[w.first[1:]] - many[w.first[:-1]]),
                 pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             ],
             ["id", "kept_text", "n_words", "n_removed", "spans"],
         )
-        del edge
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:

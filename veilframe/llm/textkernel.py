@@ -9,11 +9,14 @@ temporaries stay small however long one document is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 PIECE = 1 << 18
 U64 = np.uint64
@@ -201,7 +204,14 @@ def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
     return mix64(out)
 
 
-def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def release() -> None:
+    """Give freed memory back: workers live on between tasks, beside others on the same machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Arrow batches cut into runs of rows with about ``most`` bytes of text (one row at least)."""
     for batch in it:
         if not batch.num_rows:
@@ -213,6 +223,13 @@ def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 2
             hi = min(max(hi, lo + 1), batch.num_rows)
             yield batch.slice(lo, hi - lo), data, offs[lo : hi + 1]
             lo = hi
+    release()
+
+
+def as_text(values: list[bytes]) -> pa.Array:
+    """Byte strings as a string column; bytes that are not UTF-8 stay as they are, as they do in Spark."""
+    raw = pa.array(values, pa.binary())
+    return pc.cast(raw, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
 
 
 def signed(x: np.ndarray) -> np.ndarray:
