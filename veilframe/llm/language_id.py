@@ -123,7 +123,7 @@ def infer(score: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _predict(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     langs, table = model.value
     names = np.array([*langs, "und"], object)
-    for batch, data, offs in batches(it, most=max(1 << 16, (4 << 20) // max(1, len(langs)))):  # memory grows with languages
+    for batch, data, offs in batches(it, most=max(1 << 16, (2 << 20) // max(1, len(langs)))):  # memory grows with languages
         lo, hi = int(offs[0]), int(offs[-1])
         n = batch.num_rows
         lang, score = np.full(n, len(langs)), np.zeros(n)

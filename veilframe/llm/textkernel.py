@@ -211,7 +211,7 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(it: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Arrow batches cut into runs of rows with about ``most`` bytes of text (one row at least)."""
     for batch in it:
         if not batch.num_rows:
