@@ -39,7 +39,7 @@ _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BEYOND_LATIN = regex.compile(r"[^\x00-\u024f]")
 
-TABLE = 75_000
+TABLE = 150_000
 
 
 def byte_symbols() -> list[str]:
