@@ -224,3 +224,17 @@ def test_decontamination_of_odd_rows(spark, odd, nothing):
     got = decontamination.contaminated(odd, bench).toPandas().set_index("id")
     assert set(got.index) == {1, 2, 6, 7, 13} and got["item"][[1, 2, 6]].tolist() == [1, 1, 1]
     assert decontamination.contaminated(nothing, bench).count() == 0
+
+
+def leaks(spark, texts, items):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    return decontamination.contaminated(docs, bench).toPandas().set_index("id")
+
+
+def test_number_dense_copies_are_found(spark):
+    table = "Rows 1 2 3 4 5 then 6 7 8 9 10 and 11 12 13 14 15 end"
+    items = {1: "Compute 12 + 7 * 3 - 8 / 4", 2: table}
+    texts = {1: "Now compute 12 + 7 * 3 - 8 / 4, please", 2: "See: " + table, 3: "Compute 12 + 7 * 3 - 8 / 5", 4: table.replace("8", "80")}
+    got = leaks(spark, texts, items)
+    assert got["item"].to_dict() == {1: 1, 2: 2} and got.n_windows.to_dict() == {1: 1, 2: 7} and got.first_token.to_dict() == {1: 1, 2: 1}

@@ -5,7 +5,7 @@ Texts become tokens: runs of ASCII letters, digits and non-ASCII bytes, lower-ca
 word inside a sentence becomes a name.  A window is ``length`` consecutive tokens with typed placeholders in
 place of those; at least half of its tokens must be literal.  A benchmark item of fewer tokens (but ``least``)
 is one window.  Each window is also taken with names left literal, so a passage set in capitals still meets
-its source.
+its source, and without any placeholder, however many slots it has: a verbatim copy is always found.
 
 Windows of benchmark and documents are joined on 128-bit hashes of their templates.  Slots must agree: equal
 fillers in one must be equal in the other, and different ones different.  Windows of a document that match one item
@@ -99,9 +99,9 @@ class Typed:
             kind[name] = _NAME
         self.kind = kind
 
-    def templates(self, names: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Template hash of every token, and where it is a slot."""
-        slot = self.kind > 0 if names else (self.kind > 0) & (self.kind != _NAME)
+    def templates(self, mode: int) -> tuple[np.ndarray, np.ndarray]:
+        """Template hash of every token, and where it is a slot (mode 0), names literal (1), all literal (2)."""
+        slot = (self.kind > 0) & (mode < 2) & ((self.kind != _NAME) | (mode < 1))
         return np.where(slot, _MARK[self.kind], self.hash), slot
 
 
@@ -122,22 +122,29 @@ def pattern(fillers: np.ndarray) -> str:
     return ",".join(str(seen.setdefault(int(x), len(seen))) for x in fillers)
 
 
-def _found(t: Typed, k: int, names: bool, keep) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[list[int]]]]:
+def _found(t: Typed, k: int, keep) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[list[int]]]]:
     """Token place, two hashes, pattern and fillers of the windows of ``k`` tokens that ``keep`` lets through."""
-    h, slot = t.templates(names)
-    one = _grams(h, k, 41)
-    if not len(one):
+    n = len(t.hash) - k + 1
+    if n <= 0:
         return
-    many = np.r_[0, np.cumsum(slot)]
     doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
-    n = len(one)
-    ok = (doc[:n] == doc[k - 1 :]) & (2 * (many[k:] - many[:n]) <= k) & keep(one)
-    at = np.flatnonzero(ok)
-    if len(at):
-        c = odd_constants(k, 42)
-        two = mix64(sum((h[at + j] * c[j] for j in range(k)), np.zeros(len(at), U64)))
-        fill = [t.hash[i : i + k][slot[i : i + k]] if many[i + k] > many[i] else _NONE for i in at]
-        yield at, one[at], two, [pattern(f) if len(f) else "" for f in fill], [signed(f).tolist() for f in fill]
+    inside = doc[:n] == doc[k - 1 :]
+    before = np.full(n, k + 1)
+    for mode in range(3):
+        h, slot = t.templates(mode)
+        many = np.r_[0, np.cumsum(slot)]
+        slots = many[k:] - many[:n]
+        new = inside & (slots < before)  # others have the template of the mode before
+        before = slots
+        if not new.any():
+            continue
+        one = _grams(h, k, 41)
+        at = np.flatnonzero(new & (2 * slots <= k) & keep(one))
+        if len(at):
+            c = odd_constants(k, 42)
+            two = mix64(sum((h[at + j] * c[j] for j in range(k)), np.zeros(len(at), U64)))
+            fill = [t.hash[i : i + k][slot[i : i + k]] if many[i + k] > many[i] else _NONE for i in at]
+            yield at, one[at], two, [pattern(f) if len(f) else "" for f in fill], [signed(f).tolist() for f in fill]
 
 
 def _bench(it: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -147,17 +154,16 @@ def _bench(it: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa
         size = np.diff(t.first)
         doc = np.repeat(np.arange(batch.num_rows), size)
         for k in sorted({length} | set(size[(size >= least) & (size < length)].tolist())):
-            for names in (True, False):
-                for at, one, two, shape, fill in _found(t, k, names, everything):
-                    use = np.flatnonzero(size[doc[at]] == k) if k < length else np.arange(len(at))
-                    item = doc[at[use]]
-                    yield pa.record_batch(
-                        [
-                            batch.column(0).take(pa.array(item)), pa.array((at[use] - t.first[item]).astype(np.int32)), pa.array(np.full(len(use), k, np.int32)), pa.array(signed(one[use])), pa.array(signed(two[use])),
-                            pa.array([shape[i] for i in use], pa.string()), pa.array([fill[i] for i in use], pa.list_(pa.int64())),
-                        ],
-                        ["item", "at", "k", "one", "two", "shape", "fill"],
-                    )
+            for at, one, two, shape, fill in _found(t, k, everything):
+                use = np.flatnonzero(size[doc[at]] == k) if k < length else np.arange(len(at))
+                item = doc[at[use]]
+                yield pa.record_batch(
+                    [
+                        batch.column(0).take(pa.array(item)), pa.array((at[use] - t.first[item]).astype(np.int32)), pa.array(np.full(len(use), k, np.int32)), pa.array(signed(one[use])), pa.array(signed(two[use])),
+                        pa.array([shape[i] for i in use], pa.string()), pa.array([fill[i] for i in use], pa.list_(pa.int64())),
+                    ],
+                    ["item", "at", "k", "one", "two", "shape", "fill"],
+                )
 
 
 def _search(it: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
@@ -173,16 +179,15 @@ def _search(it: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
             continue
         t = Typed(data, offs)
         for k in lengths:
-            for names in (True, False) if (t.kind == _NAME).any() else (False,):
-                for at, one, two, _, fill in _found(t, k, names, keep):
-                    doc = np.searchsorted(t.first, at, side="right") - 1
-                    yield pa.record_batch(
-                        [
-                            batch.column(0).take(pa.array(doc)), pa.array((at - t.first[doc]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(signed(one)), pa.array(signed(two)),
-                            pa.array(fill, pa.list_(pa.int64())),
-                        ],
-                        ["id", "at", "k", "one", "two", "fill"],
-                    )
+            for at, one, two, _, fill in _found(t, k, keep):
+                doc = np.searchsorted(t.first, at, side="right") - 1
+                yield pa.record_batch(
+                    [
+                        batch.column(0).take(pa.array(doc)), pa.array((at - t.first[doc]).astype(np.int32)), pa.array(np.full(len(at), k, np.int32)), pa.array(signed(one)), pa.array(signed(two)),
+                        pa.array(fill, pa.list_(pa.int64())),
+                    ],
+                    ["id", "at", "k", "one", "two", "fill"],
+                )
 
 
 def _sieve_bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
