@@ -238,3 +238,16 @@ def test_number_dense_copies_are_found(spark):
     texts = {1: "Now compute 12 + 7 * 3 - 8 / 4, please", 2: "See: " + table, 3: "Compute 12 + 7 * 3 - 8 / 5", 4: table.replace("8", "80")}
     got = leaks(spark, texts, items)
     assert got["item"].to_dict() == {1: 1, 2: 2} and got.n_windows.to_dict() == {1: 1, 2: 7} and got.first_token.to_dict() == {1: 1, 2: 1}
+
+
+def family(*numbers):
+    """Twenty tokens with numbers at 0, 6, 13 and 19."""
+    return "{} red birds sat on roofs {} blue fish swam in lakes today {} old bears ate ripe plums {}".format(*numbers)
+
+
+def test_siblings_of_one_template_are_found(spark):
+    items = {1: family(3, 5, 3, 9), 2: family(3, 5, 7, 9), 3: family(4, 6, 8, 1)}
+    texts = {1: family(3, 5, 3, 9), 2: family(3, 5, 7, 9), 3: family(2, 11, 12, 13), 4: family(2, 11, 2, 13), 5: family(4, 6, 8, 1)}
+    got = leaks(spark, texts, items)
+    assert got["item"][[1, 2, 3, 4]].to_dict() == {1: 1, 2: 1, 3: 2, 4: 1} and set(got.index) == set(texts)
+    assert (got.n_windows == 8).all() and (got.first_token == 0).all()

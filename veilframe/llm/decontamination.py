@@ -11,8 +11,10 @@ Windows of benchmark and documents are joined on 128-bit hashes of their templat
 fillers in one must be equal in the other, and different ones different.  Windows of a document that match one item
 in one alignment form a run, and this is asked of all fillers of a run.  A question whose numbers or names were
 replaced throughout is thus caught; where fillers contradict each other, only windows without slots, which are
-literal copies, count.  Benchmark windows of one template are kept once for each pattern of their own
-fillers (places of first occurrence, ``0,1,0``), from the smallest item.
+literal copies, count.  Benchmark windows without slots are kept once, from the smallest item.  Windows of one
+template with slots are kept once for each pattern of their own fillers (places of first occurrence, ``0,1,0``)
+and each form of item (template and pattern of the whole item), from the smallest: items of one form accept the same
+documents, items of other forms each have runs of their own.
 
 Before the join, documents are sieved by a bit map of benchmark hashes of fixed size (``SIEVE`` bits), the only
 thing broadcast; false hits only cost rows.  A benchmark window in a third of all documents gives one row per
@@ -25,6 +27,7 @@ ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,8 +125,15 @@ def pattern(fillers: np.ndarray) -> str:
     return ",".join(str(seen.setdefault(int(x), len(seen))) for x in fillers)
 
 
-def _found(t: Typed, k: int, keep) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[list[int]]]]:
-    """Token place, two hashes, pattern and fillers of the windows of ``k`` tokens that ``keep`` lets through."""
+def _form(t: Typed, doc: int, h: np.ndarray, slot: np.ndarray) -> bytes:
+    """Digest of the template of a whole text and of the places where its fillers occur first."""
+    part = slice(t.first[doc], t.first[doc + 1])
+    _, place, back = np.unique(t.hash[part][slot[part]], return_index=True, return_inverse=True)
+    return hashlib.blake2b(h[part].tobytes() + place[back].astype(np.int64).tobytes(), digest_size=16).digest()
+
+
+def _found(t: Typed, k: int, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[str], list[list[int]]]]:
+    """Mode, token place, two hashes, pattern and fillers of the windows of ``k`` tokens that ``keep`` lets through."""
     n = len(t.hash) - k + 1
     if n <= 0:
         return
@@ -144,7 +154,7 @@ def _found(t: Typed, k: int, keep) -> Iterator[tuple[np.ndarray, np.ndarray, np.
             c = odd_constants(k, 42)
             two = mix64(sum((h[at + j] * c[j] for j in range(k)), np.zeros(len(at), U64)))
             fill = [t.hash[i : i + k][slot[i : i + k]] if many[i + k] > many[i] else _NONE for i in at]
-            yield at, one[at], two, [pattern(f) if len(f) else "" for f in fill], [signed(f).tolist() for f in fill]
+            yield mode, at, one[at], two, [pattern(f) if len(f) else "" for f in fill], [signed(f).tolist() for f in fill]
 
 
 def _bench(it: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -154,15 +164,17 @@ def _bench(it: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa
         size = np.diff(t.first)
         doc = np.repeat(np.arange(batch.num_rows), size)
         for k in sorted({length} | set(size[(size >= least) & (size < length)].tolist())):
-            for at, one, two, shape, fill in _found(t, k, everything):
+            for mode, at, one, two, shape, fill in _found(t, k, everything):
                 use = np.flatnonzero(size[doc[at]] == k) if k < length else np.arange(len(at))
                 item = doc[at[use]]
+                made = t.templates(mode)
+                form = {d: _form(t, d, *made) for d in {int(doc[at[i]]) for i in use if fill[i]}}
                 yield pa.record_batch(
                     [
                         batch.column(0).take(pa.array(item)), pa.array((at[use] - t.first[item]).astype(np.int32)), pa.array(np.full(len(use), k, np.int32)), pa.array(signed(one[use])), pa.array(signed(two[use])),
-                        pa.array([shape[i] for i in use], pa.string()), pa.array([fill[i] for i in use], pa.list_(pa.int64())),
+                        pa.array([shape[i] for i in use], pa.string()), pa.array([form[int(doc[at[i]])] if fill[i] else b"" for i in use], pa.binary()), pa.array([fill[i] for i in use], pa.list_(pa.int64())),
                     ],
-                    ["item", "at", "k", "one", "two", "shape", "fill"],
+                    ["item", "at", "k", "one", "two", "shape", "form", "fill"],
                 )
 
 
@@ -179,7 +191,7 @@ def _search(it: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
             continue
         t = Typed(data, offs)
         for k in lengths:
-            for at, one, two, _, fill in _found(t, k, keep):
+            for _, at, one, two, _, fill in _found(t, k, keep):
                 doc = np.searchsorted(t.first, at, side="right") - 1
                 yield pa.record_batch(
                     [
@@ -211,8 +223,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
     item_type, id_type = items.schema["item"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    bench = items.mapInArrow(lambda it: _bench(it, length, least), f"item {item_type}, at int, k int, one long, two long, shape string, fill array<long>")
-    bench = bench.groupBy("k", "one", "two", "shape").agg(F.min(F.struct("item", "at", "fill")).alias("b"))
+    bench = items.mapInArrow(lambda it: _bench(it, length, least), f"item {item_type}, at int, k int, one long, two long, shape string, form binary, fill array<long>")
+    bench = bench.groupBy("k", "one", "two", "shape", "form").agg(F.min(F.struct("item", "at", "fill")).alias("b"))
     bench = materialise(bench.select("k", "one", "two", "shape", "b.item", F.col("b.at").alias("item_at"), F.col("b.fill").alias("item_fill")), "op9-benchmark")
     places = bench.select("k", "one").mapInArrow(_sieve_bits, "k int, place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits"))
     got = places.toPandas()  # at most SIEVE / 8 rows, however large the benchmark
