@@ -251,3 +251,18 @@ def test_siblings_of_one_template_are_found(spark):
     got = leaks(spark, texts, items)
     assert got["item"][[1, 2, 3, 4]].to_dict() == {1: 1, 2: 1, 3: 2, 4: 1} and set(got.index) == set(texts)
     assert (got.n_windows == 8).all() and (got.first_token == 0).all()
+
+
+def test_contradictions_take_their_own_windows_only(spark):
+    middle = " so they ran home and slept until the rain had gone away again "
+    other = "{} tall trees stood near rivers {} small goats ran over hills then {} young wolves hid under stones {}".format
+    item = family(3, 5, 7, 9) + middle + other(11, 12, 13, 14)
+    texts = {
+        1: family(3, 5, 7, 9) + middle + other(11, 12, 13, 9),  # 14 becomes a value already used
+        2: family(30, 50, 70, 90) + middle + other(110, 120, 130, 90),
+        3: family(2, 2, 2, 2) + " so they ran off",
+    }
+    got = leaks(spark, texts, {1: item})
+    assert set(got.index) == {1, 2} and (got["item"] == 1).all()
+    # of 41 windows, those of document 2 with token 19 or 52 have a contradicted pair
+    assert got.n_windows.to_dict() == {1: 40, 2: 27} and (got.first_token == 0).all()

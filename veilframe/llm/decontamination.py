@@ -10,8 +10,8 @@ its source, and without any placeholder, however many slots it has: a verbatim c
 Windows of benchmark and documents are joined on 128-bit hashes of their templates.  Slots must agree: equal
 fillers in one must be equal in the other, and different ones different.  Windows of a document that match one item
 in one alignment form a run, and this is asked of all fillers of a run.  A question whose numbers or names were
-replaced throughout is thus caught; where fillers contradict each other, only windows without slots, which are
-literal copies, count.  Benchmark windows without slots are kept once, from the smallest item.  Windows of one
+replaced throughout is thus caught; where fillers contradict each other, the windows that hold one of them do not
+count.  Literal copies always do, whatever else stands in their run.  Benchmark windows without slots are kept once, from the smallest item.  Windows of one
 template with slots are kept once for each pattern of their own fillers (places of first occurrence, ``0,1,0``)
 and each form of item (template and pattern of the whole item), from the smallest: items of one form accept the same
 documents, items of other forms each have runs of their own.
@@ -28,6 +28,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,6 +218,21 @@ def _sieve_bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(np.full(len(hit), k, np.int32)), pa.array(hit.astype(np.int32)), pa.array(own[hit].astype(np.int32))], ["k", "place", "bits"])
 
 
+def _agreeing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the windows of each run none of whose pairs of fillers another pair of the run contradicts."""
+    for batch in it:
+        row, places = [], []
+        for r in range(batch.num_rows):
+            windows = batch.column(2)[r].as_py()
+            pairs = {p for w in windows for p in zip(w["item_fill"], w["fill"], strict=True)}
+            left, right = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+            kept = {w["at"] for w in windows if all(left[a] == 1 and right[b] == 1 for a, b in zip(w["item_fill"], w["fill"], strict=True))}
+            row += [r] * len(kept)
+            places += kept
+        at = pa.array(row, pa.int64())
+        yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(places, pa.int32())], ["id", "item", "at"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", length: int = LENGTH, least: int = LEAST) -> DataFrame:
     """One row per document with matching windows: id, item (smallest), n_windows (distinct places), first_token."""
     spark = docs.sparkSession
@@ -234,11 +250,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sent = spark.sparkContext.broadcast((lengths, bits.tobytes()))
     hits = rows.mapInArrow(lambda it: _search(it, sent), f"id {id_type}, at int, k int, one long, two long, fill array<long>")
     match = hits.join(bench, ["k", "one", "two"]).withColumn("run", F.col("at") - F.col("item_at"))
-    pairs = F.explode_outer(F.arrays_zip("item_fill", "fill"))
-    each = match.select("id", "item", "run", "at", (F.size("fill") == 0).alias("literal"), pairs.alias("p")).groupBy("id", "item", "run", "at", "literal", "p").agg(F.lit(1).alias("one"))
-    runs = each.groupBy("id", "item", "run").agg(
-        F.countDistinct("p").alias("pairs"), F.countDistinct("p.item_fill").alias("left"), F.countDistinct("p.fill").alias("right"), F.collect_set("at").alias("all"), F.collect_set(F.when(F.col("literal"), F.col("at"))).alias("plain")
-    )  # places of one alignment: at most as many as the item has windows
-    agree = (F.col("pairs") == F.col("left")) & (F.col("pairs") == F.col("right"))
-    counted = runs.select("id", "item", F.explode(F.when(agree, F.col("all")).otherwise(F.col("plain"))).alias("at"))
+    windows = F.collect_set(F.struct("at", "item_fill", "fill"))  # of one alignment: at most as many as the item has, in each mode
+    runs = match.groupBy("id", "item", "run").agg(windows.alias("windows"))
+    counted = runs.select("id", "item", "windows").mapInArrow(_agreeing, f"id {id_type}, item {item_type}, at int")
     return counted.groupBy("id").agg(F.min("item").alias("item"), F.countDistinct("at").alias("n_windows"), F.min("at").alias("first_token"))
