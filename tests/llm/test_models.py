@@ -70,6 +70,30 @@ def test_rare_words_are_joined(spark, monkeypatch):
     assert brown_lm.score(empty, *brown_lm.train(df)).count() == 0
 
 
+def test_words_under_the_core_have_classes_of_their_own(spark, monkeypatch):
+    """Words of one shape that stand in different places get different classes, sent or looked up."""
+    for head in (1_000_000, 16):
+        monkeypatch.setattr(brown_lm, "HEAD", head)
+        monkeypatch.setattr(brown_lm, "CORE", 16)
+        texts = [f"the {x}ing ran was {y}ing now" for x, y in ("ab", "cd", "ef", "gh")] * 6 + ["the dog ran was sat now"] * 24
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        model, rare = brown_lm.train(df)
+        place, _ = model.vocab.coder()
+        kinds = {r["word"]: r["kind"] for r in rare.collect()} | {w.decode(): int(model.of[i]) for w, i in place.items() if i < model.vocab.core}
+        assert {w + "ing" for w in "abcdefgh"} <= kinds.keys()
+        one, two = ({kinds[w + "ing"] for w in ws} for ws in ("aceg", "bdfh"))
+        assert min(one | two) > 0 and not one & two
+        total = Counter()
+        for w, n in zip(model.vocab.words[: model.vocab.core], range(model.vocab.core), strict=True):
+            total[int(model.of[n])] += 10 ** model.inside[n]
+        for r in rare.collect():
+            total[r["kind"]] += (r["n"] + brown_lm.ALPHA) / 10 ** model.total[r["kind"]]
+        for g in range(brown_lm.GROUPS):
+            i = model.vocab.core + g
+            total[int(model.of[i])] += 10 ** model.inside[i]
+        assert all(math.isclose(x, 1, rel_tol=1e-9) for x in total.values()) and np.allclose((10**model.step).sum(axis=1), 1)
+
+
 def test_exchange_separates_alternating_groups():
     pairs = np.zeros((9, 9))
     for a in range(1, 5):

@@ -3,19 +3,21 @@
 The model: P(w | v) = P(class(w) | class(v)) * P(w | class(w)), over the words of a text and one end token; the end
 token also stands before the first word.
 
-Words are clustered through items.  A word with at least 1 / CORE of all training tokens is an item of its own, so
-there are at most CORE of them whatever the corpus; every other word belongs to the item of its shape (last
-letters and closing punctuation, GROUPS of them).  Exchange clustering moves items between classes, one at a
-time, each to the class that raises the likelihood of the class bigrams most, until a round changes nothing.
-Item bigrams are counted over all training texts; there are at most (CORE + GROUPS + 2)^2 of them, whatever the corpus.
-
-Smoothing: class transitions are interpolated with class frequencies (weight KAPPA); an item has ALPHA extra counts
-in its class; inside a shape, a word has one extra count and unknown words share one more
+Every word seen LEAST times in training has a class of its own counts, however large the vocabulary; words seen less
+often and unseen words take the class of their shape (last letters and closing punctuation, GROUPS of them).
+
+1. Exchange clustering of the most frequent words (1 / CORE of all tokens, at most CORE of them) and the shapes makes the
+   classes: items move one at a time to the class that raises the likelihood of the class bigrams most.
+2. All other words are placed in a distributed pass: the classes before and after each are counted over all training
+   texts, and the word goes to the class that raises that likelihood most to first order.
+3. Class bigrams are counted again over all training texts with the classes of all words.
+
+Smoothing: class transitions are interpolated with class frequencies (weight KAPPA); a word with a class of its own, and a
+shape, has ALPHA extra counts in its class; inside a shape, a word has one extra count and unknown words share one more
 (add-one as in the base score).  All three are proper distributions.
 
 Word counts cover all training tokens.  Words with at least 1 / HEAD of the tokens, at most HEAD of them, are sent
-to the tasks.  Other words of a text, which cannot be hot, are looked up by a distributed join of (text, word)
-rows with the counts.
+to the tasks.  Other words of a text, which cannot be hot, are looked up with count and class by a distributed join.
 
 Edge cases: a null or empty text is one end token; with nothing to train on, every probability of the base
 is 1 and the model falls back on uniform classes; repeated rows are scored each; a null id trains and
@@ -35,11 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import materialise
+from .tables import drop, materialise
 from .textkernel import as_text, batches
 
 CORE, GROUPS, CLASSES, HEAD = 4000, 2039, 64, 1_000_000
 KAPPA, ALPHA, ROUNDS = 50.0, 0.5, 10
+LEAST = 5
 _END = b""
 _CLOSING = b".,;:!?)\"'|"
 FLUSH = 300_000
@@ -82,7 +85,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shapes(it: Iterator[pa.RecordBatch], core: float) -> Iterator[pa.RecordBatch]:
-    """Tokens and distinct words of each shape, words of the core left out."""
+    """Tokens and distinct words of each shape, words with a class of their own left out."""
     total, kinds = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
     for batch in it:
         for w, n in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -94,7 +97,7 @@ def _shapes(it: Iterator[pa.RecordBatch], core: float) -> Iterator[pa.RecordBatc
 
 
 class Vocabulary(NamedTuple):
-    """Words sent to the tasks.  Items: 0 the end, then core words, then shapes."""
+    """Words sent to the tasks.  Items: 0 the end, then words that are items of their own, then shapes."""
 
     words: list[bytes]  # by falling count; the first is the end token
     counts: np.ndarray
@@ -234,6 +237,59 @@ def exchange(pairs: Pairs, classes: int = CLASSES, rounds: int = ROUNDS) -> np.n
     return of
 
 
+def _contexts(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Classes beside words without a class: counts by (place, side, class) of words sent, classes on both sides of each other word."""
+    seed, of, own = sent.value
+    place, item = _coded(seed)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(words: list[bytes] | None, at: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(at), 1 << 18):
+            part = slice(lo, lo + (1 << 18))
+            names = pa.nulls(len(at[part]), pa.string()) if words is None else as_text(words[part])
+            yield pa.record_batch([names, pa.array(at[part]), pa.array(n[part])], ["word", "at", "n"])
+
+    for _, data, offs in batches(it):
+        tokens, first = _tokens(data, offs)
+        at, items, rest = _items(tokens, place, item, seed.core)
+        kind = of[items]
+        prev, after = _before(kind, first), np.r_[kind[1:], 0]
+        yield from rows([tokens[i] for i in rest.tolist()], prev[rest] * CLASSES + after[rest], np.ones(len(rest), np.int64))
+        use = np.flatnonzero((at >= seed.core) & (at < own))
+        new, n = np.unique(np.r_[at[use] * 2 * CLASSES + prev[use], (at[use] * 2 + 1) * CLASSES + after[use]], return_counts=True)
+        keys, back = np.unique(np.r_[keys, new], return_inverse=True)
+        counts = np.bincount(back, np.r_[counts, n], len(keys)).astype(np.int64)
+        if len(keys) > PAIRS:
+            yield from rows(None, keys, counts)
+            keys, counts = keys[:0], counts[:0]
+    yield from rows(None, keys, counts)
+
+
+def place_words(lead: np.ndarray, follow: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Class of each word from its counts of classes before and after, for the class bigrams ``table``."""
+    t = table + 0.5
+    gain = np.log(t / t.sum(axis=1, keepdims=True) / t.sum(axis=0))
+    value = follow @ gain.T + lead @ gain
+    value[:, 0] = -np.inf
+    return value.argmax(axis=1)
+
+
+def _place_sent(it: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
+        near = np.bincount(row * 2 * CLASSES + batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy(), batch.num_rows * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+        yield pa.record_batch([batch.column(0), pa.array(place_words(near[:, :CLASSES], near[:, CLASSES:], table).astype(np.int32))], ["place", "kind"])
+
+
+def _place_rare(it: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        n = np.diff(batch.column(1).offsets.to_numpy())
+        row, both = np.repeat(np.arange(batch.num_rows), n), batch.column(1).flatten().to_numpy()
+        lead, follow = (np.bincount(row * CLASSES + x, minlength=batch.num_rows * CLASSES).reshape(-1, CLASSES) for x in (both // CLASSES, both % CLASSES))
+        kind = np.where(n >= LEAST, place_words(lead, follow, table), -1)
+        yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int64)), pa.array(kind.astype(np.int32))], ["word", "n", "kind"])
+
+
 class Model(NamedTuple):
     vocab: Vocabulary
     step: np.ndarray  # class x class, log10 P(next | previous)
@@ -241,10 +297,11 @@ class Model(NamedTuple):
     inside: np.ndarray  # log10 P(item | class), for shapes less log10 of the shape's mass
     tokens: int  # N
     kinds: int  # V
+    total: np.ndarray  # log10 of each class's mass
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the table (word, n) of its rarer words."""
+    """The model of all rows of ``docs``, and the table (word, n, kind) of its rarer words; kind is the class, -1 for that of the shape."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = materialise(rows.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "op2-counts")
@@ -253,34 +310,58 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     pairs = sorted(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True), key=lambda x: (x[0] != _END, -x[1], x[0]))
     if not pairs:
         pairs = [(_END, 0)]
-    core = 1 + sum(c >= n / CORE for w, c in pairs if w)
-    vocab = Vocabulary([w for w, _ in pairs], np.array([c for _, c in pairs], np.int64), core)
-    by_shape = counts.mapInArrow(lambda it: _shapes(it, n / CORE), "g int, total long, kinds long").groupBy("g").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).toPandas()
+    own = 1 + sum(c >= LEAST for w, c in pairs if w)
+    core = 1 + sum(c >= max(LEAST, n / CORE) for w, c in pairs if w)
+    vocab = Vocabulary([w for w, _ in pairs], np.array([c for _, c in pairs], np.int64), own)
+    seed = vocab._replace(core=core)
+    least = LEAST
+    by_shape = counts.mapInArrow(lambda it: _shapes(it, least), "g int, total long, kinds long").groupBy("g").agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).toPandas()
     total, kinds = np.zeros(GROUPS), np.zeros(GROUPS)
     total[by_shape["g"]], kinds[by_shape["g"]] = by_shape["total"], by_shape["kinds"]
 
-    sent = spark.sparkContext.broadcast(vocab)
-    m = vocab.items
+    sent = spark.sparkContext.broadcast(seed)
+    m = seed.items
     seen = rows.mapInArrow(lambda it: _bigrams(it, sent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     key = seen["pair"].to_numpy()
     bigrams = Pairs(key // m, key % m, seen["n"].to_numpy(), m)
     of = exchange(bigrams)
-
-    used = np.bincount(of, minlength=CLASSES)
-    trans = bigrams.classes(of, CLASSES)
-    weight = bigrams.totals()  # tokens of each item
-    mass = np.bincount(of, weight, CLASSES)
+    table = bigrams.classes(of, CLASSES)
+
+    known = spark.sparkContext.broadcast((seed, of, own))
+    near = materialise(rows.mapInArrow(lambda it: _contexts(it, known), "word string, at long, n long"), "op2-contexts")
+    wide = 2 * CLASSES
+    beside = near.where("word is null").groupBy("at").agg(F.sum("n").alias("n")).groupBy(F.expr(f"at div {wide}").alias("place")).agg(F.collect_list(F.struct((F.col("at") % wide).alias("at"), "n")).alias("x"))
+    put = materialise(beside.select("place", "x.at", "x.n").mapInArrow(lambda it: _place_sent(it, table), "place long, kind int"), "op2-placed").toPandas()  # at most HEAD rows
+    of = np.r_[of[:core], np.zeros(own - core, np.int64), of[core:]]
+    of[put["place"].to_numpy(np.int64)] = put["kind"]
+    rare = near.where("word is not null").groupBy("word").agg(F.collect_list("at").alias("at"))  # under 1 / HEAD of the tokens each
+    rare = materialise(rare.mapInArrow(lambda it: _place_rare(it, table), "word string, n long, kind int"), "op2-rare")
+    drop(near, counts)
+    placed = rare.where("kind >= 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toPandas()
+
+    weight = np.r_[vocab.counts[:own], total].astype(float)  # tokens of each item
+    used, mass = np.bincount(of, minlength=CLASSES).astype(float), np.bincount(of, weight, CLASSES)
+    used[placed["kind"]] += placed["kinds"].to_numpy(float)
+    mass[placed["kind"]] += placed["n"].to_numpy(float)
     plain = np.where(used > 0, mass + 1, 0)
     plain = plain / plain.sum()
     with np.errstate(divide="ignore"):
+        all_of = np.log10(mass + ALPHA * used)
+        inside = np.log10(weight + ALPHA) - all_of[of]
+        inside[own:] -= np.log10(total + kinds + 1)
+        model = Model(vocab, np.zeros((CLASSES, CLASSES)), of, inside, int(n), int(v), all_of)
+        last = spark.sparkContext.broadcast(model)
+        part = _coded_texts(rows.select(F.lit(None).cast("int").alias("id"), "text"), last, "int")
+        steps = _resolved(part, rare).mapInArrow(lambda it: _steps(it, last), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        steps = materialise(steps, "op2-steps").toPandas()
+        drop(part)
+        trans = np.bincount(steps["pair"].to_numpy(np.int64), steps["n"].to_numpy(float), CLASSES * CLASSES).reshape(CLASSES, CLASSES)
         step = np.log10((trans + KAPPA * plain) / (trans.sum(axis=1, keepdims=True) + KAPPA))
-    inside = np.log10((weight + ALPHA) / (mass[of] + ALPHA * used[of]))
-    inside[vocab.core :] -= np.log10(total + kinds + 1)
-    rare = counts.where((F.col("n") < n / HEAD) & (F.col("word") != ""))
-    return Model(vocab, step, of, inside, int(n), int(v)), rare
+    return model._replace(step=step), rare
 
 
-def _score(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+def _parts(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    """Classes of the tokens of each text; words to be looked up are numbered -1, -2, ... in their text."""
     model = sent.value
     vocab = model.vocab
     place, item = _coded(vocab)
@@ -291,42 +372,94 @@ def _score(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         tokens, first = _tokens(data, offs)
         at, items, rest = _items(tokens, place, item, vocab.core)
         own = np.where(at >= 0, log_count[at], 0.0)
-        kind = model.of[items]
-        value = model.step[model.of[_before(items, first)], kind] + model.inside[items] + np.where(items >= vocab.core, own, 0.0)
+        code = model.of[items].astype(np.int32)
+        value = np.where(at >= 0, model.inside[items] + np.where(items >= vocab.core, own, 0.0), 0.0)
         add = lambda x: np.add.reduceat(x, first[:-1])
         size = np.diff(first)
         doc = np.searchsorted(first, rest, side="right") - 1
         cut = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         names, times, ends = [], [], [0]
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            c = Counter([tokens[i] for i in rest[a:b].tolist()])
-            names += c.keys()
-            times += c.values()
+            mine: dict[bytes, int] = {}
+            number = [mine.setdefault(tokens[i], len(mine)) for i in rest[a:b].tolist()]
+            code[rest[a:b]] = -1 - np.array(number, np.int32)
+            names += mine
+            times += np.bincount(number, minlength=len(mine)).tolist() if mine else []
             ends.append(len(names))
         ends_ = pa.array(np.array(ends, np.int32))
+        codes = [code[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        group = pa.array(np.fromiter(map(shape, names), np.int32, len(names)))
         yield pa.record_batch(
             [
                 pa.array(uid + np.arange(batch.num_rows)), batch.column(0), pa.array(size), pa.array(add(((at >= 0) & known_place[at]).astype(np.int64))), pa.array(add(own)), pa.array(add(value)),
-                pa.ListArray.from_arrays(ends_, as_text(names)), pa.ListArray.from_arrays(ends_, pa.array(times, pa.int64())),
+                pa.array(codes, pa.binary()), pa.ListArray.from_arrays(ends_, as_text(names)), pa.ListArray.from_arrays(ends_, pa.array(times, pa.int64())), pa.ListArray.from_arrays(ends_, group),
             ],
-            ["uid", "id", "n_tokens", "n_head", "own", "model", "words", "times"],
+            ["uid", "id", "n_tokens", "n_head", "own", "model", "codes", "words", "times", "shapes"],
         )
         uid += batch.num_rows
 
 
+def _coded_texts(rows: DataFrame, sent, id_type: str) -> DataFrame:
+    part = rows.mapInArrow(lambda it: _parts(it, sent), f"uid long, id {id_type}, n_tokens long, n_head long, own double, model double, codes binary, words array<string>, times array<long>, shapes array<int>")
+    return materialise(part, "op2-parts")
+
+
+def _resolved(part: DataFrame, rare: DataFrame) -> DataFrame:
+    """Coded texts with the counts and classes of the words that were looked up."""
+    looked = part.select("uid", F.posexplode("words").alias("j", "word"))
+    found = looked.join(rare, "word").groupBy("uid").agg(F.collect_list(F.struct("j", "n", "kind")).alias("x"))
+    found = found.select("uid", F.col("x.j").alias("j"), F.col("x.n").alias("n"), F.col("x.kind").alias("kind"))
+    none = F.array().cast("array<int>")
+    out = part.drop("words").join(found, "uid", "left").drop("uid")
+    return out.withColumns({"j": F.coalesce("j", none), "n": F.coalesce("n", none.cast("array<bigint>")), "kind": F.coalesce("kind", none)})
+
+
+def _rows(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Classes of the tokens of each text; times, counts, own class (-1) and shape of its words that were looked up."""
+    column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    flat = {x: (column[x].offsets.to_numpy(), column[x].values.to_numpy()) for x in ("times", "shapes", "j", "n", "kind")}
+    for r in range(batch.num_rows):
+        times, group, j, n, kind = (flat[x][1][flat[x][0][r] : flat[x][0][r + 1]] for x in ("times", "shapes", "j", "n", "kind"))
+        code = np.frombuffer(column["codes"][r].as_buffer(), np.int32)
+        count, own = np.zeros(len(times), np.int64), np.full(len(times), -1)
+        count[j], own[j] = n, kind
+        if len(times):
+            code = np.where(code < 0, np.where(own < 0, model.of[model.vocab.core + group], own)[np.maximum(-1 - code, 0)], code)
+        yield code, times, count, own, group
+
+
+def _steps(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    model = sent.value
+    out = np.zeros(CLASSES * CLASSES, np.int64)
+    for batch in it:
+        for code, *_ in _rows(batch, model):
+            out += np.bincount(np.r_[0, code[:-1]] * CLASSES + code, minlength=len(out))
+    yield pa.record_batch([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["pair", "n"])
+
+
+def _score(it: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
+    model = sent.value
+    for batch in it:
+        known, logs, value = [], [], []
+        for code, times, count, own, group in _rows(batch, model):
+            log = np.log10(count + 1.0)
+            word = np.where(own < 0, model.inside[model.vocab.core + group] + log, np.log10(count + ALPHA) - model.total[own])
+            known.append(int(times[count > 0].sum()))
+            logs.append(float(times @ log))
+            value.append(float(model.step[np.r_[0, code[:-1]], code].sum() + times @ word))
+        name = batch.schema.get_field_index
+        kept = [batch.column(name(x)) for x in ("id", "n_tokens", "n_head", "own", "model")]
+        yield pa.record_batch([*kept, pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(value, pa.float64())], ["id", "n_tokens", "n_head", "own", "model", "known", "logs", "value"])
+
+
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    part = rows.mapInArrow(lambda it: _score(it, sent), f"uid long, id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_head long, own double, model double, words array<string>, times array<long>")
-    part = materialise(part, "op2-parts")
-    looked = part.select("uid", F.inline(F.arrays_zip("words", "times")).alias("word", "times"))
-    found = looked.join(rare, "word").groupBy("uid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
-    found = materialise(found, "op2-found")
-    out = part.drop("words", "times").join(found, "uid", "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    total: Column = F.col("model") + logs
+    id_type = rows.schema["id"].dataType.simpleString()
+    out = _resolved(_coded_texts(rows, sent, id_type), rare).mapInArrow(lambda it: _score(it, sent), f"id {id_type}, n_tokens long, n_head long, own double, model double, known long, logs double, value double")
+    total: Column = F.col("model") + F.col("value")
     return out.select(
-        "id", "n_tokens", (F.col("n_head") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("own") + logs - F.col("n_tokens") * float(np.log10(model.tokens + model.kinds + 1))).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
+        "id", "n_tokens", (F.col("n_head") + F.col("known")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("own") + F.col("logs") - F.col("n_tokens") * float(np.log10(model.tokens + model.kinds + 1))).alias("base_score"), total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )
