@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from veilframe.llm import bpe, brown_lm, decontamination, language_id, queries_op2, queries_op5, queries_op6, queries_op7, queries_op9, toxicity
+from veilframe.llm.textkernel import words
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,28 +38,133 @@ def test_base_scores_against_brute_force(spark, documents):
     assert got[got.held_out].score.sum() > got[got.held_out].base_score.sum()
 
 
-def test_class_model_sums_to_one(spark, monkeypatch):
+def _hash(word):
+    return int(words(np.frombuffer(word, np.uint8), np.array([0, len(word)]), lower=True).hash[0])
+
+
+def _word_kinds(model, rare, vocabulary):
+    """Class, shape (-1: class of its own) and count of each word, whether sent or looked up."""
+    looked = {r["word"]: r for r in rare.collect()}
+    out = {}
+    for w in vocabulary:
+        at = np.flatnonzero(model.words == np.uint64(_hash(w)))
+        if len(at):
+            i = 1 + int(at[0])
+            out[w] = int(model.kinds[i]), int(model.groups[i]), int(model.counts[i])
+        else:
+            r = looked[int(np.uint64(_hash(w)).astype(np.int64))]
+            g = brown_lm.shape(w)
+            out[w] = (r["kind"], -1, r["n"]) if r["kind"] >= 0 else (int(model.of_shape[g]), g, r["n"])
+    return out
+
+
+def _is_proper(model, kinds):
     """All words of the vocabulary and the unknown rest of each shape, after any word, have total probability one."""
-    monkeypatch.setattr(brown_lm, "HEAD", 16)
-    monkeypatch.setattr(brown_lm, "CORE", 6)
-    texts = ["the cat sat on the mat.", "the dog sat.", "a cat, a dog, the end"] * 3
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model, rare = brown_lm.train(df)
-    known = {r["word"]: r["n"] for r in rare.collect()} | {w.decode(): int(n) for w, n in zip(model.vocab.words, model.vocab.counts, strict=True)}
-    place, item = model.vocab.coder()
     assert np.allclose((10**model.step).sum(axis=1), 1)
-    total = Counter()
-    groups = set()
-    for w, n in known.items():
-        i = item[place[w.encode()]] if w.encode() in place else model.vocab.core + brown_lm.shape(w.encode())
-        total[model.of[i]] += 10 ** model.inside[i] * ((n + 1) if i >= model.vocab.core else 1)
+    total = Counter({0: 10 ** float(model.emission(0, -1, model.counts[0]))})
+    for k, g, n in kinds.values():
+        total[k] += 10 ** float(model.emission(k, g, n))
     for g in range(brown_lm.GROUPS):  # one unknown word more in every shape
-        i = model.vocab.core + g
-        groups.add(model.of[i])
-        total[model.of[i]] += 10 ** model.inside[i]
+        total[int(model.of_shape[g])] += 10 ** model.inside[g]
     assert all(math.isclose(x, 1, rel_tol=1e-9) for x in total.values())
 
 
+@pytest.mark.parametrize("head", [1_000_000, 16, 0.001])
+def test_class_model_sums_to_one(spark, monkeypatch, head):
+    monkeypatch.setattr(brown_lm, "HEAD", head)
+    monkeypatch.setattr(brown_lm, "CORE", 6)
+    texts = ["the cat sat on the mat.", "the dog sat.", "a cat, a dog, the end"] * 3 + ["once upon THE sea"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, rare = brown_lm.train(df)
+    kinds = _word_kinds(model, rare, {w for t in texts for w in t.encode().lower().split()})
+    _is_proper(model, kinds)
+    assert {w for w, (_, g, _) in kinds.items() if g < 0} == {w for w, (_, _, n) in kinds.items() if n >= brown_lm.LEAST}
+
+
+@pytest.mark.parametrize("head", [1_000_000, 60])
+def test_scores_against_plain_bigrams(spark, monkeypatch, head):
+    """``score`` equals class bigrams counted in plain Python with the model's classes, words unseen in training included."""
+    monkeypatch.setattr(brown_lm, "HEAD", head)
+    base = ["The cat sat on the mat.", "the dog sat; the cat ran!", "a cat, a dog, the end", "a red dog ran on"] * 3 + ["once upon the sea", "", None]
+    held = ["the zebra ran home.", "A CAT once sat", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(base + held)], "doc_id long, text string")
+    trains = df.doc_id < len(base)
+    got = {r["id"]: r for r in brown_lm.train_and_score(df, trains).collect()}
+    model, rare = brown_lm.train(df.where(trains))
+    again = {r["id"]: r["score"] for r in brown_lm.score(df, model, rare).collect()}
+    texts = [(t or "").encode().lower().split() for t in base + held]
+    kinds = _word_kinds(model, rare, {w for t in texts[: len(base)] for w in t})
+    for t in texts:
+        for w in t:
+            kinds.setdefault(w, (int(model.of_shape[brown_lm.shape(w)]), brown_lm.shape(w), 0))
+    kinds[b"<end>"] = 0, -1, len(base)
+    pairs, mass, used, inside = Counter(), Counter(), Counter(), {g: [0, 0] for g in range(brown_lm.GROUPS)}
+    for t in texts[: len(base)]:
+        ks = [0, *(kinds[w][0] for w in t), 0]
+        pairs.update(zip(ks[:-1], ks[1:], strict=True))
+    for k, g, n in kinds.values():
+        if g < 0:
+            mass[k] += n
+            used[k] += 1
+        else:
+            inside[g][0] += n
+            inside[g][1] += n > 0
+    for g, (n, _) in inside.items():
+        mass[int(model.of_shape[g])] += n
+        used[int(model.of_shape[g])] += 1
+    whole = sum(mass[k] + 1 for k in used)
+    lead = Counter()
+    for (a, _), n in pairs.items():
+        lead[a] += n
+
+    def plain(t):
+        total, a = 0.0, 0
+        for w in [*t, b"<end>"]:
+            k, g, n = kinds[w]
+            total += math.log10((pairs[a, k] + brown_lm.KAPPA * (mass[k] + 1) / whole) / (lead[a] + brown_lm.KAPPA))
+            m = mass[k] + brown_lm.ALPHA * used[k]
+            if g < 0:
+                total += math.log10((n + brown_lm.ALPHA) / m)
+            else:
+                total += math.log10((inside[g][0] + brown_lm.ALPHA) / m * (n + 1) / (inside[g][0] + inside[g][1] + 1))
+            a = k
+        return total
+
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i].score, plain(t), rel_tol=1e-9) and math.isclose(again[i], got[i].score, rel_tol=1e-9)
+
+
+def test_one_word_moves_where_it_gains_most():
+    """The sparse gains equal likelihoods computed anew, where a word's neighbours are in other classes than it can move to."""
+    rng = np.random.default_rng(4)
+    c = brown_lm.CLASSES
+    table = rng.integers(1, 50, (c, c)).astype(float)
+    side = np.array([3, 5, c + 3, c + 7])
+    n = np.array([4.0, 2.0, 3.0, 3.0])
+    without = table.copy()
+    without[[3, 5], 9] += 0
+    held = table.copy()
+    held[3, 9] += 4
+    held[5, 9] += 2
+    held[9, 3] += 3
+    held[9, 7] += 3
+
+    def at(k):
+        t = without.copy()
+        t[3, k] += 4
+        t[5, k] += 2
+        t[k, 3] += 3
+        t[k, 7] += 3
+        return brown_lm.likelihood(t)
+
+    free = [k for k in range(1, c) if k not in (3, 5, 7)]
+    best = max(free, key=at)
+    zero = np.zeros(4, np.int64)
+    one = int(brown_lm.best_classes(zero, side, n, np.array([9]), held)[0])
+    new = int(brown_lm.best_classes(zero, side, n, np.array([-1]), table)[0])
+    assert one == new and (one in (3, 5, 7) or one == best)
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     texts = ["aa bb cc aa", "aa dd", "", None, "ee ee"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
@@ -78,20 +184,17 @@ def test_words_under_the_core_have_classes_of_their_own(spark, monkeypatch):
         texts = [f"the {x}ing ran was {y}ing now" for x, y in ("ab", "cd", "ef", "gh")] * 6 + ["the dog ran was sat now"] * 24
         df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         model, rare = brown_lm.train(df)
-        place, _ = model.vocab.coder()
-        kinds = {r["word"]: r["kind"] for r in rare.collect()} | {w.decode(): int(model.of[i]) for w, i in place.items() if i < model.vocab.core}
-        assert {w + "ing" for w in "abcdefgh"} <= kinds.keys()
-        one, two = ({kinds[w + "ing"] for w in ws} for ws in ("aceg", "bdfh"))
-        assert min(one | two) > 0 and not one & two
-        total = Counter()
-        for w, n in zip(model.vocab.words[: model.vocab.core], range(model.vocab.core), strict=True):
-            total[int(model.of[n])] += 10 ** model.inside[n]
-        for r in rare.collect():
-            total[r["kind"]] += (r["n"] + brown_lm.ALPHA) / 10 ** model.total[r["kind"]]
-        for g in range(brown_lm.GROUPS):
-            i = model.vocab.core + g
-            total[int(model.of[i])] += 10 ** model.inside[i]
-        assert all(math.isclose(x, 1, rel_tol=1e-9) for x in total.values()) and np.allclose((10**model.step).sum(axis=1), 1)
+        kinds = _word_kinds(model, rare, {w for t in texts for w in t.encode().split()})
+        one, two = ({kinds[f"{w}ing".encode()][0] for w in ws} for ws in ("aceg", "bdfh"))
+        assert min(one | two) > 0 and not one & two and model.assigned > 0.8
+        _is_proper(model, kinds)
+
+
+def test_long_words_and_texts_are_scored(spark):
+    texts = ["x" * 3_000_000 + " y", "word " * 400_000, "." * 3000, "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = brown_lm.score(df, *brown_lm.train(df)).toPandas().sort_values("id")
+    assert got.n_tokens.tolist() == [3, 400_001, 2, 2] and (got.n_known == got.n_tokens).all() and np.isfinite(got.score).all()
 
 
 def test_exchange_separates_alternating_groups():

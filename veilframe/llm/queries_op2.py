@@ -3,13 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .brown_lm import score, train
+from .brown_lm import train_and_score
 from .language_id import remainder
 
 
 def op2_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    held = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
-    model, rare = train(docs.where(~held))
-    out = score(docs, model, rare)
-    return out.select(F.col("id").alias("doc_id"), F.coalesce(remainder("id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+    held = lambda c: F.coalesce(remainder(c, 7) == 2, F.lit(False))
+    out = train_and_score(docs, ~held("doc_id"))
+    return out.select(F.col("id").alias("doc_id"), held("id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
