@@ -442,7 +442,9 @@ def _fit(rows: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     item = np.r_[0, base + group[1:]]
     item[top] = np.arange(1, base)
     made = sent((item, base))
-    seen = texts.mapInArrow(lambda it: _pairs(it, made), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most (CORE + GROUPS + 1) ** 2 rows
+    bigrams = materialise(texts.mapInArrow(lambda it: _pairs(it, made), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "op2-bigrams")
+    seen = bigrams.toArrow()  # at most (CORE + GROUPS + 1) ** 2 rows
+    drop(bigrams)
     m = base + GROUPS
     key = seen["pair"].to_numpy()
     of = exchange(Pairs(key // m, key % m, seen["n"].to_numpy(), m))
@@ -498,8 +500,9 @@ def _sweep(texts: DataFrame, kinds: np.ndarray, of_shape: np.ndarray, moves: np.
         of = sent((table, kinds))
         near = sums.where("key >= 0").select(F.expr(f"key div {_SIDES}").alias("name"), F.struct((F.col("key") % _SIDES).cast("int").alias("side"), "n").alias("x"))
         near = near.groupBy("name").agg(F.collect_list("x").alias("x")).select("name", "x.side", "x.n")  # at most _SIDES values a word
-        put = near.mapInArrow(lambda it, of=of: _move(it, of), "name long, kind int").toArrow()  # at most HEAD words
-        drop(sums)
+        moved = materialise(near.mapInArrow(lambda it, of=of: _move(it, of), "name long, kind int"), "op2-moved")
+        put = moved.toArrow()  # at most HEAD words
+        drop(sums, moved)
         kinds = kinds.copy()
         kinds[put["name"].to_numpy()] = put["kind"].to_numpy()
     return best[1], best[2]
