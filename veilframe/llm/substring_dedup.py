@@ -184,9 +184,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     drop(seeds)
 
     hoods = materialise(found.groupBy("anchor", "hood").agg(F.min("id").alias("low")), "op1-hoods")
-    several = hoods.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("several"))
+    several = hoods.groupBy("anchor").agg(F.min("hood").alias("a"), F.max("hood").alias("b")).where("a < b").select("anchor", F.lit(True).alias("several"))
+    several = materialise(several, "op1-several")  # a table of its own, so that the join can split an anchor of many neighbourhoods
     marked = materialise(hoods.join(several, "anchor", "left"), "op1-marked")
-    drop(hoods)
+    drop(hoods, several)
     state = F.when(F.col("low") < F.col("id"), 1).when(F.col("several"), 2)
     spots = (
         found.join(marked, ["anchor", "hood"]).select("id", "row", "pos", state.alias("state")).where("state is not null")
