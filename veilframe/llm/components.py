@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from .tables import drop, materialise
 
 
-def _star(near: DataFrame) -> DataFrame:
-    """Hang each neighbour of ``u`` on the smallest node that ``u`` sees (itself included)."""
-    low = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
-    return near.join(low, "u")
+def _star(near: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hang each neighbour of ``u`` on the smallest node that ``u`` sees (itself included).
+
+    The minima are a table of their own (returned too), so that the join can split a node of many neighbours.
+    """
+    low = materialise(near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m")), "star-lows")
+    return near.join(low, "u"), low
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -30,11 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _print(now)
     while seen[0]:
         near = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialise(_star(near).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
-        grown = _star(large)
+        star, low = _star(near)
+        large = materialise(star.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        drop(low)
+        grown, low = _star(large)
         small = grown.select(F.col("v").alias("u"), F.col("m").alias("v")).union(grown.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         after = materialise(small, "small-star")
-        drop(now, large)
+        drop(now, large, low)
         now, before, seen = after, seen, _print(after)
         if before == seen:
             break

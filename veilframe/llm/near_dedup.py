@@ -12,10 +12,13 @@ has its whole word sequence as one shingle.  Documents are linked when
 4. The packed signatures estimate similarity by bit counts, corrected for the chance of 1/4 that
    low bits agree by accident.  Of what is within five deviations of the threshold, each document's
    NEAREST centers are confirmed on full sets; the links give components.
-5. A bucket that still holds several components is open: members outside its largest component are
-   compared with the rest of it.  Estimate and full sets are tested inside the join, so only
-   confirmed links leave it.  Members that are already connected need no further pair, so a group of
-   many near copies never expands into pairs and still loses no link that could join two components.
+5. A bucket that still holds several components is open.  Members outside its largest component may
+   still be linked to the rest of it.  Two sets over the threshold share one of their first few shingles
+   in any common order; the order here is by how many open members a shingle's slot has, so shingles
+   that a whole bucket shares come last and meet nobody.  Sizes and packed signatures are tested inside
+   that join and what is left is confirmed on full sets.  Members that are already connected need no
+   further pair, so a group of many near copies never expands into pairs and still loses no link that
+   could join two components.
 
 At the threshold of 0.8 a pair is missed by all bands with probability (1 - 0.8**6)**40 = 5e-6.
 
@@ -41,6 +44,9 @@ DEVIATIONS = 5.0
 #: A list of at most so many (id, row) keys is sent to all tasks; a longer one is joined by shuffle.
 SENT_KEYS = 100_000
 NEAREST = 3
+#: Slots of shingle counts that order the shingles of open members: a table of fixed size, whatever the corpus.
+SLOT_BITS = 20
+SLOTS = 1 << SLOT_BITS
 SIG = [f"s{i}" for i in range(LONGS)]
 
 
@@ -151,6 +157,54 @@ def _confirm(pairs: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percen
     return links
 
 
+def _crowding(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold a shingle of each slot."""
+    out = np.zeros(SLOTS, np.int64)
+    for batch in it:
+        out += np.bincount((np.asarray(batch.column(1).flatten()).view(U64) >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+    hit = np.flatnonzero(out)
+    yield pa.record_batch([pa.array(hit.astype(np.int32)), pa.array(out[hit])], ["slot", "n"])
+
+
+def _leading(it: Iterator[pa.RecordBatch], crowd, percent: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of each set in the least crowded slots: so many that two sets over the threshold share one."""
+    for batch in it:
+        sets = batch.column(1)
+        flat, offs = np.asarray(sets.flatten()), sets.offsets.to_numpy().astype(np.int64)
+        offs = offs - offs[0]
+        size = np.diff(offs)
+        doc = np.repeat(np.arange(len(size)), size)
+        order = np.lexsort((flat, crowd.value[(flat.view(U64) >> U64(64 - SLOT_BITS)).astype(np.int64)], doc))
+        lead = size - (size * percent + 99) // 100 + 1
+        taken = order[np.arange(len(flat)) - offs[doc] < lead[doc]]
+        yield pa.record_batch([batch.column(0).take(pa.array(doc[taken])), pa.array(flat[taken])], ["id", "g"])
+
+
+def _across(held: DataFrame, slim: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int, likely: Column) -> DataFrame | None:
+    """Confirmed links between components that met in open buckets; ``held`` has their members (id, root, outside)."""
+    if held.isEmpty():
+        return None
+    spark, id_type = held.sparkSession, held.schema["id"].dataType.simpleString()
+    sets = _sets_of(held.select("id"), reps, texts, n)
+    got = sets.mapInArrow(_crowding, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    crowd = np.zeros(SLOTS, np.int64)
+    crowd[got["slot"].to_numpy()] = got["n"]
+    sent = spark.sparkContext.broadcast(crowd)
+    lead = sets.mapInArrow(lambda it: _leading(it, sent, percent), f"id {id_type}, g long")
+    lead = materialise(lead.join(held, "id").join(slim, "id"), "op3-lead")
+    met = lead.groupBy("g").agg(F.count("*").alias("m"), F.max("outside").alias("outside")).where("m > 1 and outside").select("g")
+    met = materialise(met, "op3-met")
+    lead = materialise(lead.join(met, "g", "left_semi"), "op3-meeting")
+    x, y = lead.where("outside").alias("x"), lead.alias("y")
+    across = (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.outside") | (F.col("x.id") < F.col("y.id"))) & likely
+    pairs = materialise(x.join(y, across).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct(), "op3-likely")
+    drop(met, lead)
+    near = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
+    extra = materialise(near.where(_alike("a", "b", percent)).select("u", "v"), "op3-extra")
+    drop(pairs, sets)
+    return None if extra.isEmpty() else extra
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component (smallest id reachable), kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).cast("string").alias("text"))
@@ -185,24 +239,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = materialise(at, "op3-at")
     drop(crowd)
     share = at.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts"))
-    held = materialise(at.join(share.where("parts > 1").select("key", "main"), "key").join(slim, "id"), "op3-open")
-    drop(at)
-    x, y = held.where("root <> main").alias("x"), held.alias("y")
-    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))) & sizes & (differing("x", "y") <= allowed)
-    likely = materialise(x.join(y, across, "left_semi").select("key", "id").union(y.join(x, across, "left_semi").select("key", "id")), "op3-likely")
-    if not likely.isEmpty():
-        sets = _sets_of(likely.select("id").distinct(), reps, texts, n)
-        full_rows = held.join(likely, ["key", "id"], "left_semi").join(sets, "id").join(reps.select("id", "keys"), "id")
-        full_rows = materialise(full_rows, "op3-across")
-        x, y = full_rows.where("root <> main").alias("x"), full_rows.alias("y")
-        shared = F.filter(F.zip_with("x.keys", "y.keys", lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull())
-        here = F.get(shared, F.lit(0)) == F.col("x.key")  # of several common buckets, a pair is tested in the first
-        extra = materialise(x.join(y, across & here & _alike("x.set", "y.set", percent)).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")), "op3-extra")
-        drop(full_rows, sets)
-        if not extra.isEmpty():
-            roots = materialise(components(links.union(extra)), "op3-merged")
+    share = materialise(share.where("parts > 1").select("key", "main"), "op3-share")
+    held = at.join(share, "key").groupBy("id").agg(F.max("root").alias("root"), F.max(F.col("root") != F.col("main")).alias("outside"))
+    held = materialise(held, "op3-open")
+    drop(at, share)
+    extra = _across(held, slim, reps, texts, n, percent, sizes & (differing("x", "y") <= allowed))
+    if extra is not None:
+        roots = materialise(components(links.union(extra)), "op3-merged")
         drop(extra)
-    drop(likely, held, links)
+    drop(held, links)
 
     named = classes.select("one", "two", "n", F.col("rep.id").alias("node")).join(roots, "node", "left").select("one", "two", "n", F.coalesce("root", "node").alias("root"))
     named = materialise(named, "op3-named")
