@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import drop, materialise
+from .tables import drop, fresh, materialise
 
 MIN_SITES, MIN_WORDS = 10, 3
 LOG_K = 12  # registers of a sketch: 2**LOG_K, standard error about 1.04 / 2**(LOG_K / 2)
@@ -78,6 +78,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Its count of lines removed is in ``removals``.
     """
-    gone = removals(docs, id_col, text_col, site_col, min_sites, min_words).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, (docs[id_col] == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__row")), "left")
-    return joined.select(*[without_lines(docs[c].cast("string"), F.col("__gone")).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    i, row, lines = (fresh(x, docs.columns) for x in ("id", "row", "gone"))
+    gone = removals(docs, id_col, text_col, site_col, min_sites, min_words).select(F.col("id").alias(i), F.col("row").alias(row), F.col("gone").alias(lines))
+    joined = docs.join(gone, (docs[id_col] == F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(row)), "left")
+    return joined.select(*[without_lines(docs[c].cast("string"), F.col(lines)).alias(c) if c == text_col else docs[c] for c in docs.columns])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,14 @@ _kept: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine) a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset on one machine a new temporary one.
+
+    On a cluster the setting is required: executors cannot share a folder of their own machines.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,6 +51,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or it with underscores after it, so that no column of ``taken`` has it (case aside)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``materialise`` whose readers are done."""
     for t in tables:
