@@ -282,6 +282,21 @@ def test_bpe_on_odd_texts(spark, odd, nothing):
     assert bpe.decode(bpe.encode(nothing, path), path).count() == 0
 
 
+def test_bpe_of_huge_words(spark):
+    from tokenizers import Tokenizer
+
+    path = queries_op6.tokenizer_file()
+    lib, vocab = Tokenizer.from_file(path), bpe.Vocabulary(open(path, encoding="utf-8").read())
+    rng = np.random.default_rng(3)
+    long = "".join(rng.choice(list("etaoinsrhl"), 100_000))
+    for text in (long, "ab" * 40_000, "a" * 70_001, "x" + "aab" * 30_000 + " the " + long[:5000], "-" * 50_000, "\u00e9\u00e8" * 20_000):
+        assert np.frombuffer(vocab.encode([text])[0], "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+    huge = "".join(rng.choice(list("etaoinsrhl"), 1_000_000)) * 4
+    df = spark.createDataFrame([(1, huge), (2, "word " * 800_000), (3, "a" * 4_000_000)], "doc_id long, text string")
+    got = bpe.encode(df, path, check=True).toPandas()
+    assert got.exact.all() and got.n_tokens[got.id == 2].item() > 800_000
+
+
 # language ID
 
 

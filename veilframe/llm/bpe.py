@@ -3,7 +3,8 @@
 All new pretokens of a batch are laid out as one array of byte symbols, linked inside each pretoken.  An
 index maps every adjacent pair that has a rank to all its positions.  The active ranks are taken in
 ascending order from a heap; one step merges every listed position of that pair, and only the pairs to
-its left and right enter the index anew.  In a vocabulary whose merged token never has a lower rank
+its left and right enter the index anew.  Symbols, links and positions take 32 bits each, so one word of many megabytes
+needs about 40 bytes of memory a byte.  In a vocabulary whose merged token never has a lower rank
 than the merges that build it (checked on loading), this equals merging each pretoken by itself.
 
 Pretokens repeat, so their ids are kept in a table per worker.  When it is full it becomes the old table and a new one
@@ -23,6 +24,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -40,6 +42,8 @@ PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_
 _BEYOND_LATIN = regex.compile(r"[^\x00-\u024f]")
 
 TABLE = 150_000
+STRETCH = 1 << 20  # places that numpy handles at a time
+MANY = 200  # places of one pair from which they are merged together
 
 
 def byte_symbols() -> list[str]:
@@ -49,6 +53,113 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class _Symbols:
+    """Linked symbols of some pretokens and the index of their active pairs, 32 bits a place.
+
+    ``sym`` is -1 where a symbol was merged into one before it; ``nxt`` and ``prv`` are -1 at the ends of a pretoken.
+    """
+
+    def __init__(self, vocab: Vocabulary, raw: np.ndarray, first: np.ndarray) -> None:
+        n = len(raw)
+        self.vocab = vocab
+        links = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        links[0][first[1:] - 1] = -1
+        links[1][first[:-1]] = -1
+        self.sym, self.nxt, self.prv = (array("i", x.tobytes()) for x in (vocab.byte_id[raw], *links))
+        self.sym_view, self.nxt_view, self.prv_view = (np.frombuffer(x, np.int32) for x in (self.sym, self.nxt, self.prv))
+        self.at: dict[int, array] = {}
+        for lo in range(0, n - 1, STRETCH):
+            hi = min(lo + STRETCH, n - 1)
+            rank = vocab.byte_rank[raw[lo:hi], raw[lo + 1 : hi + 1]]
+            place = np.flatnonzero((rank >= 0) & (self.nxt_view[lo:hi] >= 0))
+            self._enter(rank[place], place + lo)
+        self.heap = list(self.at)
+        heapq.heapify(self.heap)
+
+    def _enter(self, rank: np.ndarray, place: np.ndarray) -> list[int]:
+        """Add places to the index by rank; returns the ranks that it did not have."""
+        order = np.argsort(rank, kind="stable")
+        rank, place = rank[order], place[order].astype(np.int32)
+        new: list[int] = []
+        if not len(rank):
+            return new
+        cut = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+        for r, a, b in zip(rank[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(rank)], strict=True):
+            if r not in self.at:
+                self.at[r] = array("i")
+                new.append(r)
+            self.at[r].frombytes(place[a:b].tobytes())
+        return new
+
+    def merge(self) -> None:
+        """Merge pairs by ascending rank until none is active."""
+        while self.heap:
+            r = heapq.heappop(self.heap)
+            places = self.at.pop(r)
+            x, y, z = self.vocab.merged[r]
+            if x != y and len(places) > MANY:  # places of such a pair cannot overlap
+                self._merge_many(np.unique(np.frombuffer(places, np.int32)), x, y, z)
+            else:
+                self._merge_few(places, x, y, z)
+
+    def _merge_many(self, i: np.ndarray, x: int, y: int, z: int) -> None:
+        sym, nxt, prv, vocab = self.sym_view, self.nxt_view, self.prv_view, self.vocab
+        for lo in range(0, len(i), STRETCH):
+            a = i[lo : lo + STRETCH]
+            j = nxt[a]
+            ok = (sym[a] == x) & (j >= 0)
+            a, j = a[ok], j[ok]
+            ok = sym[j] == y
+            a, j = a[ok], j[ok]
+            sym[a], sym[j] = z, -1
+            k = nxt[j]
+            nxt[a] = k
+            prv[k[k >= 0]] = a[k >= 0]
+        for lo in range(0, len(i), STRETCH):
+            a = i[lo : lo + STRETCH]
+            a = a[sym[a] == z]
+            for side, right in ((nxt[a], True), (prv[a], False)):
+                here = np.flatnonzero(side >= 0)
+                other, back = np.unique(sym[side[here]], return_inverse=True)
+                ranks = np.array([vocab.pair.get((z, o) if right else (o, z), -1) for o in other.tolist()], np.int64)[back] if len(here) else np.zeros(0, np.int64)
+                hit = ranks >= 0
+                for s in self._enter(ranks[hit], (a if right else side)[here][hit]):
+                    heapq.heappush(self.heap, s)
+
+    def _merge_few(self, places: array, x: int, y: int, z: int) -> None:
+        sym, nxt, prv, at, heap, rank_of = self.sym, self.nxt, self.prv, self.at, self.heap, self.vocab.pair.get
+        if len(places) > MANY:
+            places = array("i", np.sort(np.frombuffer(places, np.int32)).tobytes())
+        else:
+            places = sorted(places)
+        for i in places:
+            j = nxt[i]
+            if sym[i] != x or j == -1 or sym[j] != y:
+                continue
+            sym[i] = z
+            sym[j] = -1
+            k = nxt[j]
+            nxt[i] = k
+            h = prv[i]
+            if k != -1:
+                prv[k] = i
+                s = rank_of((z, sym[k]))
+                if s is not None:
+                    if s in at:
+                        at[s].append(i)
+                    else:
+                        at[s] = array("i", (i,))
+                        heapq.heappush(heap, s)
+            if h != -1:
+                s = rank_of((sym[h], z))
+                if s is not None:
+                    if s in at:
+                        at[s].append(h)
+                    else:
+                        at[s] = array("i", (h,))
+                        heapq.heappush(heap, s)
+
+
 class Vocabulary:
     """Merge ranks and token bytes of a tokenizer file."""
 
@@ -57,7 +168,7 @@ class Vocabulary:
         symbols = byte_symbols()
         of = {c: b for b, c in enumerate(symbols)}
         ids = spec["model"]["vocab"]
-        self.byte_id = [ids[c] for c in symbols]
+        self.byte_id = np.array([ids[c] for c in symbols], np.int32)
         self.pair: dict[tuple[int, int], int] = {}
         self.merged: list[tuple[int, int, int]] = []
         born: dict[int, int] = {}
@@ -69,6 +180,7 @@ class Vocabulary:
             born.setdefault(z, rank)
             self.pair[x, y] = rank
             self.merged.append((x, y, z))
+        self.byte_rank = np.array([[self.pair.get((x, y), -1) for y in self.byte_id.tolist()] for x in self.byte_id.tolist()], np.int32)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         table = {i: bytes(of[c] for c in t) for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         parts = [table.get(i, b"") for i in range(max(table) + 1)]
@@ -92,64 +204,11 @@ class Vocabulary:
             new = [p for p in new if p not in table]
         if not new:
             return
-        sym: list[int] = []
-        first: list[int] = []
-        for p in new:
-            first.append(len(sym))
-            sym.extend(map(self.byte_id.__getitem__, p.encode("utf-8", "surrogatepass")))
-        n = len(sym)
-        first.append(n)
-        nxt = list(range(1, n + 1))
-        prv = list(range(-1, n - 1))
-        for f in first[1:]:
-            if f:
-                nxt[f - 1] = -1
-            if f < n:
-                prv[f] = -1
-        rank_of = self.pair.get
-        at: dict[int, list[int]] = {}
-        for i in range(n - 1):
-            if nxt[i] != -1:
-                r = rank_of((sym[i], sym[i + 1]))
-                if r is not None:
-                    if r in at:
-                        at[r].append(i)
-                    else:
-                        at[r] = [i]
-        heap = list(at)
-        heapq.heapify(heap)
-        while heap:
-            r = heapq.heappop(heap)
-            places = at.pop(r)
-            places.sort()
-            x, y, z = self.merged[r]
-            for i in places:
-                j = nxt[i]
-                if sym[i] != x or j == -1 or sym[j] != y:
-                    continue
-                sym[i] = z
-                sym[j] = -1
-                k = nxt[j]
-                nxt[i] = k
-                if k != -1:
-                    prv[k] = i
-                    s = rank_of((z, sym[k]))
-                    if s is not None:
-                        if s in at:
-                            at[s].append(i)
-                        else:
-                            at[s] = [i]
-                            heapq.heappush(heap, s)
-                h = prv[i]
-                if h != -1:
-                    s = rank_of((sym[h], z))
-                    if s is not None:
-                        if s in at:
-                            at[s].append(h)
-                        else:
-                            at[s] = [h]
-                            heapq.heappush(heap, s)
-        ids = np.array(sym, np.int64)
+        raw = np.frombuffer(b"".join(p.encode("utf-8", "surrogatepass") for p in new), np.uint8)
+        first = np.r_[0, np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in new])]
+        symbols = _Symbols(self, raw, first)
+        symbols.merge()
+        ids = symbols.sym_view
         live = ids >= 0
         cut = np.r_[0, np.cumsum(live)][first] * 4
         packed = ids[live].astype("<u4").tobytes()
