@@ -3,7 +3,10 @@
 Language ID rejects texts without a language (no letters); line dedup takes cross-site boilerplate out of texts;
 near-dedup keeps the smallest id of each component (and texts without words); decontamination drops documents
 that hold benchmark passages; the last stage encodes what is left and checks the round trip.
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``, under their names whatever these are.
+
+Languages and lines are judged row by row.  In near-dedup and decontamination rows of one id are one document: they stay
+or go together; rows with a null id stay.
 """
 
 from __future__ import annotations
@@ -13,21 +16,21 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import bpe, decontamination, language_id, line_dedup, near_dedup
 from veilframe.llm.queries_op6 import tokenizer_file
+from veilframe.llm.tables import fresh, materialise
 from veilframe.shipping import ship
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` less the rows of the given ids (one column); rows with a null id stay."""
-    key = ids.columns[0]
-    gone = ids.select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    key = fresh("gone", docs.columns)
+    gone = ids.select(F.col(ids.columns[0]).alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in which a language is found; the model learns from their labelled rows."""
     ship(spark)
-    found = language_id.identify(docs, language_id.learn(docs))
-    return _without(docs, found.where("lang_pred = 'und'").select("id"))
+    return language_id.with_language(docs, language_id.learn(docs))
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,6 +70,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:  # stages read their input several times
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

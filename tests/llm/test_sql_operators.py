@@ -134,3 +134,28 @@ def test_verdict_query_on_odd_pages(spark, tmp_path):
     df = spark.createDataFrame([(1, None, 1), (1, None, 1), (2, "://", 2)], "page_id long, url string, host int")
     df.write.parquet(f"{tmp_path}/pages.parquet")
     assert queries_op8.op8_url_reputation(spark, str(tmp_path)).count() == 3
+
+
+def test_registered_domains(spark):
+    from veilframe.llm.url_reputation import SUFFIXES, levels
+
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "a.b.com:80": ("b.com", "com"), "u@x.org.": ("x.org", "org"), "10.0.0.1:8080": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "": ("", ""), "localhost": ("localhost", "localhost")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = levels(df.host, SUFFIXES)
+    assert {r[0]: (r[1], r[2]) for r in df.select("host", domain, suffix).collect()} == hosts
+
+
+def test_hosts_under_a_long_suffix_share_no_domain(spark, tmp_path):
+    urls = [f"http://www.bad{i % 3}.co.uk/x/{i}" for i in range(30)] + [f"http://a.good{i % 3}.co.uk:8080/y/{i}" for i in range(30)] + ["http://new.co.uk/", "http://b.good1.co.uk/", "http://z.bad1.co.uk/", "http://10.1.2.3/en/", "http://10.9.2.3/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    from veilframe.llm.url_reputation import judge
+
+    from pyspark.sql import functions as F
+
+    got = judge(df.withColumn("bad", (df.page_id < 30).cast("int")), (), outcome=F.when(F.col("page_id") < 60, F.col("page_id") < 30)).toPandas().set_index("id").verdict
+    assert (got[:30] == "block").all() and (got[30:60] == "allow").all() and got[61] == "allow" and got[62] == "block"
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    pages = df.toPandas()  # noqa: F841
+    con = duckdb.connect()
+    con.register("pages", pages)
+    same_rows(queries_op8.op8_url_reputation(spark, str(tmp_path)), con.sql(queries_op8.ORACLE).df())

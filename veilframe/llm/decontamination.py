@@ -16,8 +16,8 @@ template with slots are kept once for each pattern of their own fillers (places
 and each form of item (template and pattern of the whole item), from the smallest: items of one form accept the same
 documents, items of other forms each have runs of their own.
 
-Before the join, documents are sieved by a bit map of benchmark hashes of fixed size (``SIEVE`` bits), the only
-thing broadcast; false hits only cost rows.  A benchmark window in a third of all documents gives one row per
+Before the join, documents are sieved by a bit map of benchmark hashes, the only thing broadcast: 16 bits a window, 16 MB
+at most (``SIEVE_BITS``); false hits only cost rows.  A benchmark window in a third of all documents gives one row per
 document, matched with one benchmark row (items of equal windows are aggregated first).
 
 Edge cases: null or empty texts and items match nothing; items under ``least`` tokens are not searched; a null id
@@ -40,7 +40,7 @@ from .tables import materialise
 from .textkernel import U64, batches, lower_case, mix64, odd_constants, signed, words
 
 LENGTH, LEAST = 13, 6
-SIEVE = 1 << 24
+SIEVE_BITS = 16, 27  # least and most: 8 KB to 16 MB
 
 # Unit words.
 UNITS = """km m cm mm kilometers meters metres miles mile feet foot inches inch yards kg g mg kilograms grams tons tonnes pounds
@@ -182,9 +182,10 @@ def _bench(it: Iterator[pa.RecordBatch], length: int, least: int) -> Iterator[pa
 def _search(it: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
     lengths, packed = sieve.value
     bits = np.frombuffer(packed, np.uint8)
+    mask = U64(8 * len(bits) - 1)
 
     def keep(x: np.ndarray) -> np.ndarray:
-        at = x & U64(SIEVE - 1)
+        at = x & mask
         return (bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) > 0
 
     for batch, data, offs in batches(it):
@@ -203,19 +204,14 @@ def _search(it: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _sieve_bits(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct sieve places of a task's windows as one bit map per window length, sent as bytes."""
-    maps: dict[int, np.ndarray] = {}
+def _sieve_bits(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Sieve places of a task's windows as a bit map, sent as its bytes that are not zero."""
+    own = np.zeros(bits // 8, np.uint8)
     for batch in it:
-        ks = np.asarray(batch.column(0))
-        at = np.asarray(batch.column(1)).view(U64) & U64(SIEVE - 1)
-        for k in np.unique(ks).tolist():
-            own = maps.setdefault(k, np.zeros(SIEVE // 8, np.uint8))
-            x = at[ks == k]
-            np.bitwise_or.at(own, (x >> U64(3)).astype(np.int64), np.uint8(1) << (x & U64(7)).astype(np.uint8))
-    for k, own in maps.items():
-        hit = np.flatnonzero(own)
-        yield pa.record_batch([pa.array(np.full(len(hit), k, np.int32)), pa.array(hit.astype(np.int32)), pa.array(own[hit].astype(np.int32))], ["k", "place", "bits"])
+        at = np.asarray(batch.column(0)).view(U64) & U64(bits - 1)
+        np.bitwise_or.at(own, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
+    hit = np.flatnonzero(own)
+    yield pa.record_batch([pa.array(hit.astype(np.int32)), pa.array(own[hit].astype(np.int32))], ["place", "bits"])
 
 
 def _agreeing(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,9 +238,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     bench = items.mapInArrow(lambda it: _bench(it, length, least), f"item {item_type}, at int, k int, one long, two long, shape string, form binary, fill array<long>")
     bench = bench.groupBy("k", "one", "two", "shape", "form").agg(F.min(F.struct("item", "at", "fill")).alias("b"))
     bench = materialise(bench.select("k", "one", "two", "shape", "b.item", F.col("b.at").alias("item_at"), F.col("b.fill").alias("item_fill")), "op9-benchmark")
-    places = bench.select("k", "one").mapInArrow(_sieve_bits, "k int, place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits"))
-    got = places.toPandas()  # at most SIEVE / 8 rows, however large the benchmark
-    bits = np.zeros(SIEVE // 8, np.uint8)
+    size = 1 << min(max(int(16 * bench.count()).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])  # 16 bits a window or more, while that is within bounds
+    places = bench.select("one").mapInArrow(lambda it: _sieve_bits(it, size), "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits"))
+    got = places.toPandas()  # at most 2 ** SIEVE_BITS[1] / 8 rows, however large the benchmark
+    bits = np.zeros(size // 8, np.uint8)
     bits[got["place"].to_numpy(np.int64)] = got["bits"].to_numpy(np.uint8)
     lengths = sorted(r["k"] for r in bench.select("k").distinct().collect())  # at most ``length`` values
     sent = spark.sparkContext.broadcast((lengths, bits.tobytes()))

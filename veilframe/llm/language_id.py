@@ -48,15 +48,12 @@ def _trigrams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch, data, offs in batches(it):
+        found: dict[str, list[np.ndarray]] = {}
         for lang, a, b in zip(batch.column(0).to_pylist(), offs[:-1], offs[1:], strict=True):
-            if b <= a:
-                continue
             bucket, letter = _trigrams(data[a:b])
-            own = np.bincount(bucket[letter], minlength=BUCKETS)
-            if lang in counts:
-                counts[lang] += own
-            else:
-                counts[lang] = own
+            found.setdefault(lang, []).append(bucket[letter])
+        for lang, parts in found.items():
+            counts[lang] = counts.get(lang, 0) + np.bincount(np.concatenate(parts), minlength=BUCKETS)
     for lang, own in counts.items():
         hit = np.flatnonzero(own)
         yield pa.record_batch([pa.array([lang] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(own[hit].astype(np.int64))], ["lang", "bucket", "n"])
@@ -120,10 +117,9 @@ def infer(score: np.ndarray, first: np.ndarray) -> np.ndarray:
     return shares
 
 
-def _predict(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    langs, table = model.value
-    names = np.array([*langs, "und"], object)
-    for batch, data, offs in batches(it, most=max(1 << 16, (2 << 20) // max(1, len(langs)))):  # memory grows with languages
+def _languages(it: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray, text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows with the language of each (its number, that of ``und`` last), score and shares."""
+    for batch, data, offs in batches(it, text, most=max(1 << 16, (2 << 20) // max(1, len(langs)))):  # memory grows with languages
         lo, hi = int(offs[0]), int(offs[-1])
         n = batch.num_rows
         lang, score = np.full(n, len(langs)), np.zeros(n)
@@ -145,6 +141,13 @@ def _predict(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
                     shares[known] = infer(score_w[rows], np.r_[0, np.cumsum(np.diff(first)[known])])
                     lang[known] = np.argmax(shares[known], axis=1)
                     score[known] = shares[known].max(axis=1)
+        yield batch, lang, score, shares
+
+
+def _predict(it: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    langs, table = model.value
+    names = np.array([*langs, "und"], object)
+    for batch, lang, score, shares in _languages(it, langs, table):
         kept = [{langs[i]: float(s[i]) for i in np.flatnonzero(s > 0)} for s in shares]
         yield pa.record_batch([batch.column(0), pa.array(names[lang], pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(kept, pa.map_(pa.string(), pa.float64()))], ["id", "lang_pred", "score", "shares"])
 
@@ -167,6 +170,18 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return rows.mapInArrow(lambda it: _predict(it, sent), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, shares map<string,double>")
 
 
+def _known(it: Iterator[pa.RecordBatch], model, text: str) -> Iterator[pa.RecordBatch]:
+    langs, table = model.value
+    for batch, lang, _, _ in _languages(it, langs, table, text):
+        yield batch.filter(pa.array(lang < len(langs)))
+
+
+def with_language(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` in which a language is found, all columns as they are; ``text_col`` is a string."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _known(it, sent, text_col), docs.schema)
+
+
 def remainder(id_col: str, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % m

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .url_reputation import judge
+from .url_reputation import SUFFIXES, judge
 
 
 def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -11,6 +11,12 @@ def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
+_LONG = "array_to_string(list_slice(string_split(name, '.'), -2, -1), '.')"
+_IS_LONG = f"{_LONG} IN ({', '.join(map(repr, SUFFIXES))})"
+_ADDRESS = r"regexp_full_match(name, '\[.*\]|[0-9.]+')"
+_DOMAIN = f"CASE WHEN {_ADDRESS} THEN name WHEN {_IS_LONG} THEN array_to_string(list_slice(string_split(name, '.'), -3, -1), '.') ELSE {_LONG} END"
+_SUFFIX = f"CASE WHEN {_ADDRESS} THEN name WHEN {_IS_LONG} THEN {_LONG} ELSE string_split(name, '.')[-1] END"
+
 _STRENGTH = """
   SELECT (b + 0.5) / (t + 1) AS m,
          1 / (CASE WHEN k > 1 THEN least(greatest(coalesce((q - b * b / greatest(t, 1) - v * (k - 1)) / nullif(v * (t - nn / greatest(t, 1) - k + 1), 0), 0.5), 0.01), 0.9) ELSE 0.5 END) - 1 AS s
@@ -31,8 +37,10 @@ WITH cut AS (
   FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id
 ), j AS (
   SELECT p.*, rule, ruled FROM p LEFT JOIN fit USING (page_id)
+), sums AS (
+  SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\\.?(:[0-9]*)?$', '') AS name, count(*) FILTER (ruled = 'block') AS bad, count(ruled) AS n FROM j GROUP BY host
 ), hosts AS (
-  SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*) FILTER (ruled = 'block') AS bad, count(ruled) AS n FROM j GROUP BY host
+  SELECT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix, bad, n FROM sums
 ), domains AS (
   SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL
 ), suffixes AS (

@@ -10,6 +10,10 @@ one more than the parent's number of outcomes, so that a prior never claims more
 posterior mean, less ``z`` posterior standard deviations, is the lower bound of its share of bad pages; above
 ``limit`` the url is blocked.  Hosts without outcomes take their parent's posterior through the prior.
 
+The registered domain is the suffix and one label more; the suffix is the longest of ``suffixes`` (of two labels) that the
+host ends with, else its last label.  A user, a port and a closing dot do not count for these levels; an address of digits
+and dots, or in brackets, is a suffix and a domain of its own.
+
 Levels are aggregates of host sums, so a host with a third of all pages is one row per task; only hosts,
 not pages, are summed again for domains and suffixes.  The join back to pages is between plain tables,
 which adaptive execution can split.
@@ -48,6 +52,21 @@ RULES = (
 )
 
 
+# Public suffixes of two labels under which anyone can register; the full public list can be given instead.
+SUFFIXES = """co.uk org.uk ac.uk gov.uk me.uk com.au net.au org.au edu.au co.nz org.nz co.za com.br net.br org.br co.jp or.jp ne.jp ac.jp
+co.kr or.kr com.cn net.cn org.cn com.tw com.hk com.sg com.my co.in net.in org.in co.id com.tr com.mx com.ar com.ua com.pl co.il""".split()
+
+
+def levels(host: Column, suffixes: list[str]) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r"\.?(:[0-9]*)?$", "")
+    two = F.substring_index(name, ".", -2)
+    long = two.isin(suffixes) if suffixes else F.lit(False)
+    address = name.rlike(r"^(\[.*\]|[0-9.]+)$")
+    suffix = F.when(address, name).when(long, two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(address, name).when(long, F.substring_index(name, ".", -3)).otherwise(two), suffix
+
+
 def host_of(url: Column) -> Column:
     after = F.when(F.instr(url, "://") > 0, F.expr("substr(url, instr(url, '://') + 3)")).otherwise("")
     return F.coalesce(F.translate(F.regexp_extract(after, "^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
@@ -81,7 +100,7 @@ def strength(rows: DataFrame, bad: str = "bad", n: str = "n") -> DataFrame:
     return sums.select(m.alias("m"), (1 / rho - 1).alias("s"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, z: float = 1.645, limit: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, z: float = 1.645, limit: float = 0.5, suffixes: list[str] = SUFFIXES) -> DataFrame:
     """One row per row of ``pages``: id, host, path, rule, verdict, bad_rate, bound."""
     url = F.col("url")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), *([outcome.cast("int").alias("given")] if outcome is not None else []))
@@ -90,7 +109,8 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page
     rows = rows.withColumn("rule", matched(host, path, rules, "text")).withColumn("ruled", matched(host, path, rules, "verdict"))
     bad = F.col("given") if outcome is not None else (F.col("ruled") == "block").cast("int")
     hosts = rows.groupBy("host").agg(F.coalesce(F.sum(bad), F.lit(0)).alias("bad"), F.count(bad).alias("n"))
-    hosts = materialise(hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "op8-hosts")
+    domain, suffix = levels(F.col("host"), suffixes)
+    hosts = materialise(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "op8-hosts")
     domains = materialise(hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "op8-domains")
     suffixes = materialise(domains.groupBy("suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "op8-suffixes")
     top, mid, low = (strength(x).first() for x in (suffixes, domains, hosts))
