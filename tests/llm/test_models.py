@@ -228,6 +228,52 @@ def test_toxicity_learns_words_and_ignores_groups(spark):
     assert abs(logit("muslim") - logit("christian")) < 1.0
 
 
+def test_swaps_equal_features_of_swapped_texts():
+    """Changes found from words equal those of the texts with the term replaced, features computed anew."""
+    import re
+
+    terms = toxicity.Terms()
+    names = [t for group in toxicity.IDENTITIES for t in group]
+    feats = lambda t: set(toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist())
+    keys = np.sort(np.unique(np.concatenate([terms.features])))
+    for text in ("a muslim met a christian, a Muslim", "women and men; womens manners", "the christ of christmas", "black whitewash white", "nothing here"):
+        import pyarrow as pa
+
+        batch = pa.record_batch([pa.array([0], pa.int32()), pa.array([text])], ["toxic", "text"])
+        got = [tuple(c) for r in toxicity._rows(iter([batch]), type("B", (), {"value": keys})()) for c in r.column(2).to_pylist()[0]]
+        want = []
+        for g, group in enumerate(toxicity.IDENTITIES):
+            for t in group:
+                if re.search(rf"(?i)\b{t}\b", text):
+                    for o in group:
+                        if o != t:
+                            gone, new = feats(text) - feats(re.sub(rf"(?i)\b{t}\b", o, text)), feats(re.sub(rf"(?i)\b{t}\b", o, text)) - feats(text)
+                            want.append((*(-1 - np.searchsorted(keys, np.array(sorted(gone), np.uint64))).tolist(), *(1 + np.searchsorted(keys, np.array(sorted(new), np.uint64))).tolist()))
+        assert sorted(got) == sorted(want)
+    assert len(names) == len(terms.terms)
+
+
+def test_counterfactuals_spare_neutral_mentions(spark):
+    """Where toxic texts name one group, the penalty lowers the score of neutral mentions and keeps what is toxic."""
+    rnd = np.random.default_rng(6)
+    plain = [f"w{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        words_ = list(rnd.choice(plain, 8)) + (["muslim"] if bad and i % 6 == 0 else []) + (["idiots"] if bad and i % 2 else ["vermin"] if bad else [])
+        rows.append((i, " ".join(words_)))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [(i, f"the muslim family {' '.join(rnd.choice(plain, 6))}") for i in range(50)]
+    foul = [(100 + i, f"these idiots {' '.join(rnd.choice(plain, 6))}") for i in range(50)]
+    probe = spark.createDataFrame(neutral + foul, "doc_id long, text string")
+    rate = {}
+    for weight in (0.0, 1.0):
+        got = toxicity.score(probe, toxicity.learn(docs, labels, counterfactual=weight)).toPandas()
+        rate[weight] = (got[got.id < 100].score.mean(), (got[got.id < 100].score >= 0.5).mean(), (got[got.id >= 100].score >= 0.5).mean())
+    assert rate[0.0][1] == 1 and rate[1.0][1] == 0 and rate[1.0][0] < rate[0.0][0] and rate[1.0][2] == 1
+
+
 def test_toxicity_without_labels(spark, odd, nothing):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(odd, toxicity.learn(odd, labels)).toPandas()
