@@ -15,8 +15,9 @@ has its whole word sequence as one shingle.  Documents are linked when
 5. A bucket that still holds several components is open.  Members outside its largest component may
    still be linked to the rest of it.  Two sets over the threshold share one of their first few shingles
    in any common order; the order here is by how many open members a shingle's slot has, so shingles
-   that a whole bucket shares come last and meet nobody.  Sizes and packed signatures are tested inside
-   that join and what is left is confirmed on full sets.  Members that are already connected need no
+   that a whole bucket shares come last and meet nobody.  Sizes, packed signatures and two bounds of the
+   overlap that no true link fails (places of the common shingle, parities of the sets) are tested inside
+   that join, so hardly any pair but links leaves it; full sets confirm.  Members that are already connected need no
    further pair, so a group of many near copies never expands into pairs and still loses no link that
    could join two components.
 
@@ -47,6 +48,9 @@ NEAREST = 3
 #: Slots of shingle counts that order the shingles of open members: a table of fixed size, whatever the corpus.
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
+#: Longs of a set's parities: 512 bits, of which two sets differ in at most as many as they have shingles not in common.
+PARITIES = 8
+PARITY = [f"p{i}" for i in range(PARITIES)]
 SIG = [f"s{i}" for i in range(LONGS)]
 
 
@@ -167,17 +171,41 @@ def _crowding(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leading(it: Iterator[pa.RecordBatch], crowd, percent: int) -> Iterator[pa.RecordBatch]:
-    """The shingles of each set in the least crowded slots: so many that two sets over the threshold share one."""
+    """The shingles of each set in the least crowded slots, so many that two sets over the threshold share one, and their places."""
     for batch in it:
-        sets = batch.column(1)
-        flat, offs = np.asarray(sets.flatten()), sets.offsets.to_numpy().astype(np.int64)
-        offs = offs - offs[0]
+        flat, offs = _flat(batch)
         size = np.diff(offs)
         doc = np.repeat(np.arange(len(size)), size)
         order = np.lexsort((flat, crowd.value[(flat.view(U64) >> U64(64 - SLOT_BITS)).astype(np.int64)], doc))
         lead = size - (size * percent + 99) // 100 + 1
-        taken = order[np.arange(len(flat)) - offs[doc] < lead[doc]]
-        yield pa.record_batch([batch.column(0).take(pa.array(doc[taken])), pa.array(flat[taken])], ["id", "g"])
+        place = np.arange(len(flat)) - offs[doc]
+        use = np.flatnonzero(place < lead[doc])
+        yield pa.record_batch([batch.column(0).take(pa.array(doc[use])), pa.array(flat[order[use]]), pa.array(place[use].astype(np.int32))], ["id", "g", "place"])
+
+
+def _parities(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity of the number of shingles in each of 64 * PARITIES slots, packed."""
+    for batch in it:
+        flat, offs = _flat(batch)
+        at = flat.view(U64) % U64(64 * PARITIES)
+        out = np.zeros((batch.num_rows, PARITIES), U64)
+        np.bitwise_xor.at(out, (np.repeat(np.arange(batch.num_rows), np.diff(offs)), (at >> U64(6)).astype(np.int64)), U64(1) << (at & U64(63)))
+        yield pa.record_batch([batch.column(0), *[pa.array(signed(out[:, i])) for i in range(PARITIES)]], ["id", *PARITY])
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all sets of a batch (id, set), and where each set begins."""
+    sets = batch.column(1)
+    offs = sets.offsets.to_numpy().astype(np.int64)
+    return np.asarray(sets.flatten()), offs - offs[0]
+
+
+def _possible(percent: int) -> Column:
+    """No pair over the threshold fails this: what its common shingle's places and its parities leave for the overlap is enough."""
+    both = F.col("x.n") + F.col("y.n")
+    odd = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY), F.lit(0))  # at most as many as are in one set only
+    ahead = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))  # holds for the first shingle that both have
+    return ((both - odd) * (100 + percent) >= 2 * percent * both) & (ahead * (100 + percent) >= percent * both)
 
 
 def _across(held: DataFrame, slim: DataFrame, reps: DataFrame, texts: DataFrame, n: int, percent: int, likely: Column) -> DataFrame | None:
@@ -190,15 +218,16 @@ def _across(held: DataFrame, slim: DataFrame, reps: DataFrame, texts: DataFrame,
     crowd = np.zeros(SLOTS, np.int64)
     crowd[got["slot"].to_numpy()] = got["n"]
     sent = spark.sparkContext.broadcast(crowd)
-    lead = sets.mapInArrow(lambda it: _leading(it, sent, percent), f"id {id_type}, g long")
-    lead = materialise(lead.join(held, "id").join(slim, "id"), "op3-lead")
-    met = lead.groupBy("g").agg(F.count("*").alias("m"), F.max("outside").alias("outside")).where("m > 1 and outside").select("g")
+    lead = materialise(sets.mapInArrow(lambda it: _leading(it, sent, percent), f"id {id_type}, g long, place int").join(held, "id"), "op3-lead")
+    met = lead.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("outside").alias("outside")).where("a < b and outside").select("g")
     met = materialise(met, "op3-met")
-    lead = materialise(lead.join(met, "g", "left_semi"), "op3-meeting")
-    x, y = lead.where("outside").alias("x"), lead.alias("y")
-    across = (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.outside") | (F.col("x.id") < F.col("y.id"))) & likely
-    pairs = materialise(x.join(y, across).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct(), "op3-likely")
+    parities = sets.mapInArrow(_parities, f"id {id_type}, " + ", ".join(f"{p} long" for p in PARITY))
+    lead_met = materialise(lead.join(met, "g", "left_semi").join(slim, "id").join(parities, "id"), "op3-meeting")
     drop(met, lead)
+    x, y = lead_met.where("outside").alias("x"), lead_met.alias("y")
+    across = (F.col("x.g") == F.col("y.g")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.outside") | (F.col("x.id") < F.col("y.id"))) & likely & _possible(percent)
+    pairs = materialise(x.join(y, across).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct(), "op3-likely")
+    drop(lead_met)
     near = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("b")), "v")
     extra = materialise(near.where(_alike("a", "b", percent)).select("u", "v"), "op3-extra")
     drop(pairs, sets)
