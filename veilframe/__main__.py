@@ -1,6 +1,6 @@
 """Command line: detect and mask personal data in text from arguments, a file, lines or standard input.
 
-    python -m veilframe [--lines] [-f FILE | -] [--json] [--argmax] [--stats] [--dump-tokens] [TEXT ...]
+    python -m veilframe [--model DIR] [--lines] [-f FILE | -] [--json] [--argmax] [--stats] [--dump-tokens | --dump-logprobs] [TEXT ...]
 """
 
 from __future__ import annotations
@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
+from .operators.detect import RunStats
 from .operators.tokens import bpe_tokens
 from .plans import api
 from .schema import DOCS
 from .serve import server
 from .shipping import ship
 from .sources import readers
-from .sources.sinks import token_dump
-from .sources.vocabulary import read_ranks
+from .sources.sinks import logprob_dump, token_dump
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +32,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--argmax", action="store_true", help="best label of each token instead of the constrained search")
     p.add_argument("--stats", action="store_true", help="counts and seconds on standard error")
     p.add_argument("--dump-tokens", action="store_true", help="token ids, one per line")
+    p.add_argument("--dump-logprobs", action="store_true", help="number, id and log probabilities of each token, one per line")
+    p.add_argument("--model", help="folder of a trained model; without it rules score")
+    p.add_argument("--no-specials", action="store_true", help="special-token literals are ordinary text")
     p.add_argument("--vocabulary", help="rank file; without it pretokens are tokens")
     p.add_argument("--ctx", type=int, default=Config.n_ctx)
     p.add_argument("--batch", type=int, default=Config.batch)
@@ -52,26 +55,31 @@ def documents(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    config = Config(n_ctx=args.ctx, batch=args.batch, argmax=args.argmax, skip_beta=args.skip_beta, vocabulary=args.vocabulary, linger_ms=args.linger)
+    config = Config(n_ctx=args.ctx, batch=args.batch, argmax=args.argmax, skip_beta=args.skip_beta, vocabulary=args.vocabulary, model=args.model, specials=not args.no_specials, linger_ms=args.linger)
     spark = SparkSession.builder.appName("veilframe").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     ship(spark)
     if args.serve is not None:
-        server(args.serve, config, read_ranks(spark, config.vocabulary) if config.vocabulary else None).serve_forever()
+        server(args.serve, config, api.prepared(spark, config)[0]).serve_forever()
     began = time.time()
     docs = documents(spark, args)
+    stats = RunStats.of(spark)
     if args.dump_tokens:
-        ranks = read_ranks(spark, config.vocabulary) if config.vocabulary else None
-        rows = token_dump(bpe_tokens(docs, ranks)).orderBy("doc_id", "pos").select(F.col("id").cast("string"))
+        rows = token_dump(bpe_tokens(docs, api.prepared(spark, config)[0], config.specials)).orderBy("doc_id", "pos").select(F.col("id").cast("string"))
+    elif args.dump_logprobs:
+        rows = logprob_dump(api.logprobs(docs, config)).orderBy("doc_id", "t").select("line")
     elif args.json:
-        rows = api.span_records(docs, config).orderBy("doc_id").select("json")
+        rows = api.span_records(docs, config, stats=stats).orderBy("doc_id").select("json")
     else:
-        rows = api.redact(docs, config).orderBy("doc_id").select("masked")
+        rows = api.redact(docs, config, stats=stats).orderBy("doc_id").select("masked")
     n = 0
-    for r in rows.toLocalIterator():  # a console holds one document at a time
-        print("" if r[0] is None else r[0])
+    for r in rows.select(F.col(rows.columns[0]).cast("binary")).toLocalIterator():  # a console holds one document at a time
+        sys.stdout.buffer.write(bytes(r[0] or b"") + b"\n")
         n += 1
+    sys.stdout.buffer.flush()
     if args.stats:
         print(f"records {n}, seconds {time.time() - began:.2f}", file=sys.stderr)
+        if not (args.dump_tokens or args.dump_logprobs):
+            print(stats, file=sys.stderr)
     return 0
 
 

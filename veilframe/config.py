@@ -10,7 +10,8 @@ class Config:
     """``n_ctx`` tokens per window, ``batch`` tokens per scoring call, ``argmax`` instead of the constrained search,
     ``skip_beta`` for expert skipping (0: off), ``span_cap`` spans per category and document (None: all),
     ``specials`` whether special-token literals in a text become special tokens, ``vocabulary`` a rank
-    file (None: pretokens stand in for tokens), ``linger_ms`` the micro-batch interval of streams."""
+    file (None: that of the model, or pretokens stand in for tokens), ``model`` the folder or weights file of a trained
+    model (None: rules score), ``linger_ms`` the micro-batch interval of streams."""
 
     n_ctx: int = 4096
     batch: int = 16384
@@ -19,6 +20,7 @@ class Config:
     span_cap: int | None = None
     specials: bool = True
     vocabulary: str | None = None
+    model: str | None = None
     linger_ms: int = 8
 
     def __post_init__(self) -> None:

@@ -49,7 +49,7 @@ def _sweep(spans: Column) -> Column:
 
 
 def select_spans(spans: Column, labels: tuple[str, ...], cap: int | None = None) -> Column:
-    """Non-overlapping spans: first inside each label, then over all labels.
+    """Non-overlapping spans: first inside each label, then over all labels; for short lists (copies what it kept at each step).
 
     ``cap`` keeps only the first spans of each label, in the order given (None keeps all).
     """

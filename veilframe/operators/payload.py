@@ -62,7 +62,8 @@ def decode_string(body: bytes) -> str:
 def encode_string(value: str) -> bytes:
     """A JSON string with quotes; non-ASCII characters stay as they are."""
     body = _CONTROL.sub(lambda m: _SHORT.get(m[0]) or f"\\u{ord(m[0]):04x}", value)
-    return b'"' + "".join(body).encode("utf-8", "surrogatepass" if not re.search("[\udc80-\udcff]", body) else "surrogateescape") + b'"'
+    parts = re.split("([\udc80-\udcff]+)", body)  # bytes that are no UTF-8, between well-formed text and lone surrogates
+    return b'"' + b"".join(p.encode("utf-8", "surrogateescape" if i % 2 else "surrogatepass") for i, p in enumerate(parts)) + b'"'
 
 
 def _matcher(patterns: tuple[str, ...]) -> Callable[[list[bytes | None]], bool]:

@@ -48,8 +48,13 @@ def _redact(it: Iterator[pa.RecordBatch], ranks, config: Config, make_scorer: Ca
         yield pa.record_batch([batch.column(0), pa.array([c for c, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["payload_id", "status", "body"])
 
 
-def redact_payloads(payloads: DataFrame, config: Config | None = None, ranks: dict[bytes, int] | None = None, make_scorer: Callable[[Config], Scorer] = rule_scorer, strict: bool = False) -> DataFrame:
+def redact_payloads(payloads: DataFrame, config: Config | None = None, ranks: dict[bytes, int] | None = None, make_scorer: Callable[[Config], Scorer] | None = None, strict: bool = False) -> DataFrame:
     """payload_id, status, body for rows (payload_id, method, route, body)."""
+    from ..plans.api import prepared
+
     config = config or Config()
+    if ranks is None:
+        ranks, make_scorer = prepared(payloads.sparkSession, config, make_scorer)
+    make_scorer = make_scorer or rule_scorer
     sent = payloads.sparkSession.sparkContext.broadcast(ranks) if ranks is not None else None
     return payloads.select("payload_id", "method", "route", "body").mapInArrow(lambda it: _redact(it, sent, config, make_scorer, strict), "payload_id string, status int, body binary")

@@ -5,10 +5,13 @@ It finds patterns only; names and addresses need a model.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import regex
 
 from ..schema import CATEGORIES, N_LABELS, label_of
+from .tokens import byte_offsets
 
 RULES = {
     "private_email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -25,10 +28,18 @@ _REST = np.float32(np.log(0.04 / (N_LABELS - 1)))
 
 def hits(text: str) -> list[tuple[int, int, int]]:
     """Matches as (category, start, end) in characters; an earlier rule wins where two overlap."""
-    found: list[tuple[int, int, int]] = []
+    found: list[tuple[int, int, int]] = []  # by start; no two overlap
     for cat, pattern in _COMPILED:
-        found += [(cat, *m.span()) for m in pattern.finditer(text) if all(m.end() <= s or m.start() >= e for _, s, e in found)]
-    return found
+        starts = [s for s, _, _ in found]
+        new = []
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            i = bisect.bisect_left(starts, b)  # the last one that begins before the match ends
+            if i == 0 or found[i - 1][1] <= a:
+                new.append((a, b, cat))
+        if new:
+            found = sorted(found + new)
+    return [(cat, a, b) for a, b, cat in found]
 
 
 class RuleScorer:
@@ -36,14 +47,19 @@ class RuleScorer:
 
     needs_ids = False
 
+    def silent(self, text: str) -> bool:
+        """No rule matches anywhere in ``text``."""
+        return not any(p.search(text) for _, p in _COMPILED)
+
     def __call__(self, texts: list[str], ids: list[np.ndarray], bounds: list[np.ndarray]) -> np.ndarray:
         total = sum(map(len, ids))
         label = np.zeros(total, np.int64)
         base = 0
         for text, cut in zip(texts, bounds, strict=True):
-            for cat, a, b in sorted(hits(text), key=lambda h: h[1]):
-                start = len(text[:a].encode("utf-8", "surrogatepass"))
-                end = start + len(text[a:b].encode("utf-8", "surrogatepass"))
+            matches = hits(text)
+            place = None if text.isascii() or not matches else byte_offsets(text)
+            for cat, a, b in matches:
+                start, end = (a, b) if place is None else (int(place[a]), int(place[b]))
                 i = int(np.searchsorted(cut, start, side="right")) - 1
                 j = int(np.searchsorted(cut, end, side="left")) - 1
                 if i == j:

@@ -16,14 +16,20 @@ def _sweep(spans: Iterable[dict]) -> list[dict]:
 
 def select(spans: list[dict], cap: int | None = None) -> list[dict]:
     """Non-overlapping spans, first inside each label, then over all."""
-    labels = sorted({s["label"] for s in spans})
-    return _sweep(s for label in labels for s in _sweep([x for x in spans if x["label"] == label][:cap]))
+    by: dict[str, list[dict]] = {}
+    for s in spans:
+        by.setdefault(s["label"], []).append(s)
+    return _sweep(s for label in sorted(by) for s in _sweep(by[label][:cap]))
 
 
 def mask(text: str, spans: list[dict]) -> str:
-    raw = text.encode("utf-8", "surrogatepass")
+    return mask_bytes(text.encode("utf-8", "surrogatepass"), spans).decode("utf-8", "surrogatepass")
+
+
+def mask_bytes(raw: bytes, spans: list[dict]) -> bytes:
+    """``raw`` with each of sorted, non-overlapping spans replaced by its placeholder."""
     out, pos = [], 0
     for s in spans:
         out += [raw[pos : s["start"]], f"<{s['label'].upper()}>".encode()]
         pos = s["end"]
-    return b"".join([*out, raw[pos:]]).decode("utf-8", "surrogatepass")
+    return b"".join([*out, raw[pos:]])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 # White_Space characters and the separators U+001C to U+001F.
 TRIM_CHARS = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _TRIM = "".join(sorted(TRIM_CHARS))
@@ -39,3 +41,17 @@ def decode_lossy(data: bytes) -> tuple[str, list[int]]:
         out.append("\ufffd" if raw else c)
         pos += 1 if raw else len(c.encode())
     return "".join(out), at
+
+
+def readable(data: bytes) -> tuple[str, np.ndarray | None]:
+    """The text that is scored, and where each byte of it (and its end) stands in ``data``; None: in the same place."""
+    try:
+        return data.decode("utf-8"), None
+    except UnicodeDecodeError:
+        text, at = decode_lossy(data)
+    starts = np.array([*at, len(data)])
+    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+    inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    inner[np.repeat(np.diff(starts) < size, size)] = 0  # a replaced byte
+    return text, np.r_[np.repeat(starts[:-1], size) + inner, len(data)]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pretokens import SPECIALS, find_pretokens
 from ..functions.unicode_classes import python_pattern
+from .text_bytes import readable
 
 
 def parse_ranks(lines: list[tuple[str, int]]) -> dict[bytes, int]:
@@ -97,10 +98,17 @@ def tokenizer(ranks, specials: bool) -> Tokenizer:
     return _by_broadcast[key]
 
 
+def _on_bytes(tok: Tokenizer, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a text as stored, boundaries in its own bytes."""
+    text, place = readable(data)
+    ids, bounds = tok.encode(text)
+    return ids, bounds if place is None else place[bounds]
+
+
 def _tokenize(it: Iterator[pa.RecordBatch], ranks, specials: bool) -> Iterator[pa.RecordBatch]:
     tok = tokenizer(ranks, specials)
     for batch in it:
-        ids, bounds = zip(*[tok.encode(t or "") for t in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), ())
+        ids, bounds = zip(*[_on_bytes(tok, t or b"") for t in batch.column(1).to_pylist()], strict=True) if batch.num_rows else ((), ())
         cut = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int32)
         cat = lambda xs: pa.array(np.concatenate(xs).astype(np.int32) if xs else np.zeros(0, np.int32))
         toks = pa.StructArray.from_arrays([cat(ids), cat([b[:-1] for b in bounds]), cat([b[1:] for b in bounds])], ["id", "bs", "be"])
@@ -110,4 +118,4 @@ def _tokenize(it: Iterator[pa.RecordBatch], ranks, specials: bool) -> Iterator[p
 def bpe_tokens(docs: DataFrame, ranks: dict[bytes, int] | None, specials: bool = True) -> DataFrame:
     """doc_id, toks: the tokens of each text with byte ranges."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks) if ranks is not None else None
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _tokenize(it, sent, specials), "doc_id long, toks array<struct<id:int,bs:int,be:int>>")
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(lambda it: _tokenize(it, sent, specials), "doc_id long, toks array<struct<id:int,bs:int,be:int>>")

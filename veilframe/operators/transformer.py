@@ -64,6 +64,20 @@ class Dims:
         return out
 
 
+def dims_of(tensors: TensorFile) -> Dims:
+    """Sizes of a model file from the shapes of its tensors; experts per token and band are not stored and keep their defaults."""
+    shape = lambda name: tuple(tensors.header[name]["shape"]) if name in tensors.header else ()
+    try:
+        (vocab, d), (classes, _) = shape("embedding.weight"), shape("unembedding.weight")
+        layers = len({n.split(".")[1] for n in tensors.header if n.startswith("block.")})
+        (heads,), (_, q), (rows, _) = shape("block.0.attn.sinks"), shape("block.0.attn.out.weight"), shape("block.0.attn.qkv.weight")
+        experts, ff, _ = shape("block.0.mlp.out.weight")
+    except ValueError:
+        raise ValueError("not a model file: tensors are missing or have other ranks") from None
+    head = q // heads
+    return Dims(d=d, layers=layers, heads=heads, kv_heads=(rows - q) // 2 // head, head=head, experts=experts, ff=ff, vocab=vocab, classes=classes)
+
+
 # Fixed values of the model's position scaling and activation.
 THETA, FACTOR, ORIGINAL, SLOW, FAST = 150000.0, 32.0, 4096.0, 1.0, 32.0
 LIMIT, GATE_SLOPE, EPS = 7.0, 1.702, 1e-5
@@ -196,13 +210,14 @@ class TransformerScorer:
 
     def __init__(self, path: str, dims: Dims, n_ctx: int, budget: int, skip_beta: float = 0.0, round_activations: bool = False) -> None:
         self.model = Transformer(TensorFile(path), dims, skip_beta, round_activations)
-        self.n_ctx, self.budget = n_ctx, budget
+        self.n_ctx, self.budget, self.batches = n_ctx, budget, 0
 
     def __call__(self, texts: list[str], ids: list[np.ndarray], bounds: list[np.ndarray]) -> np.ndarray:
         windows = cut(np.array([len(i) for i in ids], np.int64), self.n_ctx)
         out = []
         for group in pack([n for _, _, n in windows], self.budget):
             part = [windows[i] for i in group]
+            self.batches += 1
             out.append(self.model.forward(np.concatenate([ids[d][o : o + n] for d, o, n in part]), [n for _, _, n in part]))
         return np.concatenate(out) if out else np.zeros((0, self.model.dims.classes), np.float32)
 

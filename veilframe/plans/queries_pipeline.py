@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -63,7 +64,8 @@ def viterbi_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logprob_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _triples(spark, sf_dir).select(F.col("doc").alias("doc_id"), "lp")
+    ids = F.transform("lp", lambda x, i: (F.col("doc") * 3 + i).cast("int"))
+    rows = _triples(spark, sf_dir).select(F.col("doc").alias("doc_id"), ids.alias("ids"), "lp")
     return logprob_dump(rows)
 
 
@@ -99,6 +101,19 @@ def spans_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.span_records(_docs(spark, sf_dir))
 
 
+def mask_broken_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked bytes of texts that begin and end with bytes that are no UTF-8."""
+    text = F.concat(F.lit(bytearray(b"\xff ")), F.col("text").cast("binary"), F.lit(bytearray(b" \xc3("))).cast("string")
+    return api.redact(_docs(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", F.hex(F.col("masked").cast("binary")).alias("masked_hex"))
+
+
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of texts that begin with a byte that is no UTF-8: offsets count it as one byte."""
+    text = F.concat(F.lit(bytearray(b"\xff ")), F.col("text").cast("binary")).cast("string")
+    found = api.detect(_docs(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", F.explode("spans").alias("s"))
+    return found.select("doc_id", "s.label", F.col("s.start").alias("bs"), F.col("s.end").alias("be"))
+
+
 def span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = api.detect(_docs(spark, sf_dir)).select(F.explode("spans").alias("s"))
     return found.groupBy("s.label").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("n_bytes"))
@@ -142,7 +157,11 @@ def vocabulary_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked documents by a stream over the table; the same rows as the batch query."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='veilframe-')}"
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     docs = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*")
     start_redaction(docs.select("doc_id", "text"), lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), f"{base}/checkpoint", once=True).awaitTermination()
@@ -150,8 +169,8 @@ def stream_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transformer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items scored by a small transformer with seeded weights: the whole path of tokens, windows, packing,
-    scoring and search.  The weights are random, so labels mean nothing."""
+    """Spans of benchmark items by a small transformer with seeded weights: the whole path of tokens, windows, packing,
+    scoring and search.  The weights are random, so labels mean nothing; tests compare them with a plain loop."""
     from ..operators.detect import detect_raw
     from ..operators.transformer import Dims
     from .seeded import seeded_scorer
@@ -159,7 +178,7 @@ def transformer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = Dims(d=32, layers=2, heads=4, kv_heads=2, head=8, experts=8, top=4, ff=16, vocab=512, band=8)
     rows = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
     found = detect_raw(rows, Config(n_ctx=64, batch=256), None, seeded_scorer(dims, 7))
-    return found.select("doc_id", F.size("raw").alias("n_spans"))
+    return found.select("doc_id", F.posexplode("raw").alias("n", "s")).select("doc_id", "n", "s.label", F.col("s.start").alias("bs"), F.col("s.end").alias("be"))
 
 
 QUERIES = {
@@ -172,6 +191,8 @@ QUERIES = {
     "mask_conversations": mask_conversations,
     "spans_json": spans_json,
     "span_counts": span_counts,
+    "span_rows": span_rows,
+    "mask_broken_bytes": mask_broken_bytes,
     "redact_plain": _redacted("/redact", lambda: F.concat(F.lit('{"id": 1, "text" : '), _text(), F.lit(', "x": [true, "keep@me.org"]}'))),
     "redact_openai": _redacted("/redact/openai", lambda: F.concat(F.lit('{"messages":[{"role":'), _object(F.col("role")), F.lit(',"content":['), F.concat(F.lit('{"type":"text","text":'), _text()), F.lit("}]}]}"))),
     "redact_anthropic": _redacted("/redact/anthropic", lambda: F.concat(F.lit('{"system":'), _text(), F.lit(',"messages":[{"content":'), _text(), F.lit("}]}"))),
@@ -194,6 +215,30 @@ def _masked(x: str) -> str:
     return rf"regexp_replace({x}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}', '<PRIVATE_EMAIL>', 'g')"
 
 
+def _spans(x: str) -> str:
+    """Rule matches of documents as rows (doc_id, label, hit, bs, be), from a text with marks around them."""
+    mark = lambda label, hit: f"chr(1) || '{label}' || chr(2) || '{hit}' || chr(3)"
+    for pattern, label in ((r"\+\d{1,2} \(\d{3}\) \d{3}-\d{4}", "private_phone"), (r"\d{4}(?:[ -]?\d{4}){3}", "account_number")):
+        x = rf"regexp_replace({x}, '{pattern}', {mark(label, chr(92) + '0')}, 'g')"
+    x = rf"""regexp_replace({x}, '((?i:token|secret|password|api_key)\s?[=:]\s?"?)([A-Za-z0-9_\-]{{16,}})', '\1' || {mark('secret', chr(92) + '2')}, 'g')"""
+    x = rf"regexp_replace({x}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}', {mark('private_email', chr(92) + '0')}, 'g')"
+    size = lambda e: f"octet_length(encode({e}))"
+    return f"""(
+        WITH m AS (SELECT doc_id, string_split({x}, chr(1)) AS ps FROM documents),
+             u AS (SELECT doc_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS p FROM m),
+             v AS (SELECT doc_id, k, string_split(p, chr(2))[1] AS label, CASE WHEN k = 1 THEN '' ELSE string_split(string_split(p, chr(2))[2], chr(3))[1] END AS hit, {size("CASE WHEN k = 1 THEN p ELSE string_split(p, chr(3))[2] END")} AS rest FROM u),
+             w AS (SELECT *, sum({size('hit')} + rest) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM v)
+        SELECT doc_id, label, hit, (e - rest - {size('hit')})::INT AS bs, (e - rest)::INT AS be FROM w WHERE k > 1)"""
+
+
+def _ranks_sql() -> dict[str, str]:
+    """The rank file as DuckDB reads it, where the file is at hand."""
+    if importlib.util.find_spec("public_tokenizers") is None:
+        return {}
+    file = f"read_csv('{vocabulary_file()}', delim=' ', header=false, quote='', escape='', columns={{'token': 'VARCHAR', 'rank': 'INT'}})"
+    return {"vocabulary_ranks": f"SELECT rank, octet_length(from_base64(token))::INT AS n_bytes FROM {file}"}
+
+
 _N = f"SELECT doc_id, len({pretokens_sql('text')}) AS n FROM documents"
 _SEG = f"SELECT doc_id, unnest(range(0, (n + {WINDOW - 1}) // {WINDOW})) AS seg, n FROM ({_N}) WHERE n > 0"
 _TAGS = "SELECT l, CASE WHEN l = 0 THEN -1 ELSE (l - 1) % 4 END AS tag, CASE WHEN l = 0 THEN -1 ELSE (l - 1) // 4 END AS cat FROM range(0, 33) t(l)"
@@ -214,7 +259,7 @@ ORACLES = {
           UNION ALL SELECT doc, [l0], l0, s FROM one JOIN size USING (doc) WHERE n = 1),
         best AS (SELECT doc, first(ls ORDER BY s DESC, list_reverse(ls)) AS ls FROM paths JOIN tags ON last = l WHERE tag IN (-1, 2, 3) GROUP BY doc)
         SELECT doc, (unnest(range(1, len(ls) + 1)) - 1)::INT AS t, unnest(ls)::INT AS label FROM best""",
-    "logprob_lines": "SELECT vec_id // 3 AS doc_id, (vec_id % 3)::INT AS t, array_to_string(list_transform(embedding[1:33], lambda x: printf('%.6f', x::DOUBLE)), ' ') AS line FROM embeddings",
+    "logprob_lines": "SELECT vec_id // 3 AS doc_id, (vec_id % 3)::INT AS t, (vec_id % 3) || ' ' || vec_id || ' ' || array_to_string(list_transform(embedding[1:33], lambda x: printf('%.6f', x::DOUBLE)), ' ') AS line FROM embeddings",
     "select_spans": """
         WITH RECURSIVE i AS (SELECT vec_id, unnest(range(0, 24)) AS k, embedding FROM embeddings),
         s AS (SELECT vec_id, ['account_number','private_address','private_date','private_email'][1 + k % 4] AS label, floor(abs(embedding[k + 1]::DOUBLE) * 400)::INT AS bs, floor(abs(embedding[k + 25]::DOUBLE) * 60)::INT AS n FROM i),
@@ -229,9 +274,13 @@ ORACLES = {
         SELECT vec_id, label, bs, be FROM b WHERE keep""",
     "mask_documents": f"SELECT doc_id, {_masked('text')} AS masked FROM documents",
     "mask_conversations": f"SELECT conv_id * 1000 + turn AS doc_id, {_masked('text')} AS masked FROM conversations",
+    "spans_json": f"""SELECT doc_id, '{{"spans":[' || coalesce(string_agg('{{"label":"' || label || '","start":' || bs || ',"end":' || be || ',"text":"' || hit || '"}}', ',' ORDER BY bs), '') || ']}}' AS json FROM documents LEFT JOIN {_spans('text')} USING (doc_id) GROUP BY doc_id""",
+    "span_counts": f"SELECT label, count(*) AS n, sum(be - bs) AS n_bytes FROM {_spans('text')} GROUP BY label",
+    "span_rows": f"SELECT doc_id, label, bs + 2 AS bs, be + 2 AS be FROM {_spans('text')}",
+    "mask_broken_bytes": f"SELECT doc_id, 'FF20' || hex({_masked('text')}) || '20C328' AS masked_hex FROM documents",
     "stream_redaction": f"SELECT doc_id, {_masked('text')} AS masked FROM documents",
     "redact_plain": f"""SELECT conv_id || '-' || turn AS payload_id, 200 AS status, '{{"id": 1, "text" : ' || to_json({_masked('text')})::VARCHAR || ', "x": [true, "keep@me.org"]}}' AS body FROM conversations""",
     "redact_openai": f"""SELECT conv_id || '-' || turn AS payload_id, 200 AS status, '{{"messages":[{{"role":' || to_json(role)::VARCHAR || ',"content":[{{"type":"text","text":' || to_json({_masked('text')})::VARCHAR || '}}]}}]}}' AS body FROM conversations""",
     "redact_anthropic": f"""SELECT conv_id || '-' || turn AS payload_id, 200 AS status, '{{"system":' || to_json({_masked('text')})::VARCHAR || ',"messages":[{{"content":' || to_json({_masked('text')})::VARCHAR || '}}]}}' AS body FROM conversations""",
     "reply_statuses": "SELECT CASE (conv_id + turn) % 4 WHEN 1 THEN 404 WHEN 2 THEN 400 ELSE 200 END AS status, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1",
-}
+} | _ranks_sql()

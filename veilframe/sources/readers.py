@@ -15,19 +15,23 @@ PAYLOAD = T.StructType([T.StructField("payload_id", T.StringType()), T.StructFie
 
 
 def from_words(spark: SparkSession, words: Iterable[str]) -> DataFrame:
-    """One document: the words joined by one space."""
-    return spark.createDataFrame([(0, " ".join(words))], DOCS)
+    """One document: the words joined by one space; bytes of arguments that are no UTF-8 stay."""
+    return _of_bytes(spark, [" ".join(words).encode("utf-8", "surrogateescape")])
+
+
+def _of_bytes(spark: SparkSession, texts: list[bytes]) -> DataFrame:
+    return spark.createDataFrame([(i, bytearray(t)) for i, t in enumerate(texts)], "doc_id long, text binary").select("doc_id", F.col("text").cast("string").alias("text"))
 
 
 def from_stdin(spark: SparkSession, lines: bool = False) -> DataFrame:
-    """One document, or one per line; empty input gives no document."""
-    data = sys.stdin.buffer.read().decode("utf-8", "replace")
+    """One document, or one per line, bytes as they are; empty input gives no document."""
+    data = sys.stdin.buffer.read()
     if not data:
         return spark.createDataFrame([], DOCS)
     if not lines:
-        return spark.createDataFrame([(0, data)], DOCS)
-    parts = data.split("\n")
-    return spark.createDataFrame(list(enumerate(parts[:-1] if parts[-1] == "" else parts)), DOCS)
+        return _of_bytes(spark, [data])
+    parts = data.split(b"\n")
+    return _of_bytes(spark, parts[:-1] if parts[-1] == b"" else parts)
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:

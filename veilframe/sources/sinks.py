@@ -17,9 +17,12 @@ def token_dump(tokens: DataFrame) -> DataFrame:
 
 
 def logprob_dump(scored: DataFrame) -> DataFrame:
-    """doc_id, t, line: token number, and its log probabilities with six decimals."""
-    rows = scored.select("doc_id", F.posexplode("lp").alias("t", "v"))
-    return rows.select("doc_id", "t", F.array_join(F.transform("v", lambda x: F.format_string("%.6f", x)), " ").alias("line"))
+    """doc_id, t, line: log probabilities of each token with six decimals, after its number and id where ``ids`` are given."""
+    numbers = F.transform("v", lambda x: F.format_string("%.6f", x))
+    if "ids" not in scored.columns:
+        return scored.select("doc_id", F.posexplode("lp").alias("t", "v")).select("doc_id", "t", F.array_join(numbers, " ").alias("line"))
+    rows = scored.select("doc_id", F.posexplode(F.arrays_zip("ids", "lp")).alias("t", "x")).select("doc_id", "t", F.col("x.ids").alias("id"), F.col("x.lp").alias("v"))
+    return rows.select("doc_id", "t", F.concat_ws(" ", F.col("t").cast("string"), F.col("id").cast("string"), F.array_join(numbers, " ")).alias("line"))
 
 
 def observed(tokens: DataFrame, name: str = "stats") -> tuple[DataFrame, Observation]:
