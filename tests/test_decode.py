@@ -131,3 +131,33 @@ def test_mask_keeps_other_bytes(spark):
     assert out[0] == "a<SECRET>b \U0001f600<PRIVATE_EMAIL>l\n" or out[0] == span_lists.mask(text, spans)
     assert out[0] == span_lists.mask(text, spans)
     assert out[1:] == ["x", None]
+
+
+def test_well_formed_best_labels_need_no_search(monkeypatch):
+    """Documents whose best labels are a path of their own give what the search gives."""
+    from veilframe.operators import decode
+
+    rng = np.random.default_rng(0)
+    agreed = 0
+    for _ in range(40):
+        sizes = rng.integers(0, 30, 20)
+        offsets = np.r_[0, np.cumsum(sizes)]
+        labels = np.zeros(offsets[-1], int)
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            i = a
+            while i < b:
+                kind, c = rng.integers(0, 3), 1 + 4 * rng.integers(0, 8)
+                if kind == 1:
+                    labels[i] = c + 3
+                elif kind == 2 and i + 2 < b:
+                    labels[i : i + 3] = c, c + 1, c + 2
+                    i += 2
+                i += 1
+        lp = rng.normal(0, 0.3, (offsets[-1], 33)).astype(np.float32)
+        lp[np.arange(len(labels)), labels] += rng.choice([0.5, 1.0, 2.0])
+        with monkeypatch.context() as m:
+            agreed += decode._agreed(lp, offsets, np.zeros(len(lp), np.uint8)).sum()
+            got = decode.viterbi(lp, offsets)
+            m.setattr(decode, "_agreed", lambda lp, o, out: np.zeros(len(o) - 1, bool))
+            assert (got == decode.viterbi(lp, offsets)).all()
+    assert agreed > 100

@@ -23,14 +23,14 @@ def viterbi(lp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Best labels of the documents ``lp[offsets[i]:offsets[i+1]]`` (rows of 33 log probabilities).
 
     Sums are 32-bit floats in token order; of equal paths the one with the lowest label id wins at each step.
-    Where outside is the best label of every token, the path of outsides is best and nothing is searched:
-    rounding keeps order, so no sum can pass it, and it wins ties.
+    Where the best labels of the single tokens make a well-formed path, that path is best and nothing is searched: rounding
+    keeps order, so no sum can pass it; it wins ties where it says outside, the lowest label, and elsewhere it must lead
+    by more than rounding can take away.
     """
     lp = np.asarray(lp, np.float32)
     size = np.diff(offsets)
     out = np.zeros(int(offsets[-1] - offsets[0]), np.uint8)
-    open_ = np.r_[0, np.cumsum(lp[:, 1:].max(axis=1) > lp[:, 0])] if len(lp) else np.zeros(1, np.int64)
-    plain = open_[offsets[1:] - offsets[0]] == open_[offsets[:-1] - offsets[0]]
+    plain = _agreed(lp, offsets - offsets[0], out)
     order = np.argsort(-size, kind="stable")
     order = order[(size[order] > 0) & ~plain[order]]
     if not len(order):
@@ -84,6 +84,36 @@ def viterbi(lp: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+_ULPS = 64  # sums of two paths with one difference keep it but for a step of the grid where they pass a power of two
+
+
+def _agreed(lp: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Documents whose best labels token by token are the best path; those are put in ``out``."""
+    n = len(offsets) - 1
+    good = np.ones(n, bool)
+    if not len(lp):
+        return good
+    best = np.argmax(lp, axis=1)
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    some = np.diff(offsets) > 0
+    head, last = offsets[:-1][some], offsets[1:][some] - 1
+    tag = np.where(best > 0, (best - 1) % 4, 4)
+    good[doc[head[(tag[head] == 1) | (tag[head] == 2)]]] = False
+    good[doc[last[tag[last] <= 1]]] = False
+    follows = np.ones(len(best), bool)
+    follows[1:] = _MAY_FOLLOW[best[:-1], best[1:]]
+    follows[head] = True
+    good[doc[~follows]] = False
+    hit = np.flatnonzero(best > 0)
+    top = np.partition(lp[hit], N_LABELS - 2, axis=1)[:, -2:]
+    size = np.r_[0.0, np.cumsum(np.abs(lp[np.arange(len(lp)), best], dtype=np.float64))]
+    reach = size[offsets[1:]] - size[offsets[:-1]]
+    good[doc[hit[top[:, 1] - top[:, 0] <= _ULPS * np.finfo(np.float32).eps * reach[doc[hit]]]]] = False
+    use = good[doc]
+    out[use] = best[use]
+    return good
+
+
 def argmax_labels(lp: np.ndarray) -> np.ndarray:
     """Best label of each token by itself, the lowest on ties; sequences may be malformed."""
     return np.argmax(np.asarray(lp, np.float32), axis=1).astype(np.uint8) if len(lp) else np.zeros(0, np.uint8)
@@ -119,3 +149,6 @@ def transition_matrix() -> np.ndarray:
     for k in range(_K):
         m[np.ix_([_B[k], _I[k]], [_I[k], _E[k]])] = 0
     return m
+
+
+_MAY_FOLLOW = transition_matrix() == 0
