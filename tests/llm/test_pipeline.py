@@ -77,3 +77,40 @@ def test_odd_rows_pass_all_stages(spark, odd, tmp_path):
 def test_empty_table(spark, nothing, tmp_path):
     _, sizes = run_stages(spark, nothing.withColumn("n_chars", nothing.doc_id), SF, tmp_path)
     assert sizes == [0] * len(corpus_pipeline.STAGES)
+
+
+def test_rows_of_one_id_and_reserved_names(spark):
+    """A letterless row takes no other row of its id with it; columns named like the stages' own pass all of them."""
+    rows = [(1, "hello there you and all of them", "en", "a"), (1, "123", "en", "a"), (2, "quite another text for the test", "en", "b"), (None, "a text without an id", "en", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for name in ("gone", "gone_", "__gone", "__id", "__row", "ID_"):
+        docs = docs.withColumn(name, docs["lang"])
+    kept = corpus_pipeline.detect_language(spark, docs, SF)
+    assert sorted(r["text"] for r in kept.collect()) == sorted(t for _, t, _, _ in rows if t != "123")
+    out = kept
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, out, SF)
+        assert out.columns == docs.columns
+    assert out.count() == 3
+
+
+def test_shared_folder_is_required_on_a_cluster():
+    import pytest
+
+    from veilframe.llm.tables import shared_folder
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "local-cluster[3,2,1024]"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_folder(Session())
