@@ -380,6 +380,65 @@ def test_infer_against_plain_em():
     got, _ = language_id._mixture(like, np.array([0, 40]), np.ones((1, 3)))
     assert np.allclose(got[0], share)
 
+def _plain_choice(score):
+    """Best penalised set by plain EM until nothing moves: sets grow by the shares of the full mixture."""
+    like = np.exp(score - score.max(axis=1, keepdims=True))
+    n, langs = like.shape
+
+    def em(allowed):
+        share = np.where(np.isin(np.arange(langs), allowed), 1 / len(allowed), 0)
+        for _ in range(5000):
+            r = like * share
+            share = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        return share, np.log((like * share).sum(axis=1)).sum()
+
+    order = np.argsort(-em(range(langs))[0], kind="stable")
+    tried = [em([i]) for i in range(langs)]
+    best = max(tried, key=lambda x: x[1])
+    for k in range(2, langs + 1):
+        share, fit = em(order[:k])
+        tried.append((share, fit - 0.5 * (k - 1) * np.log(max(n, 2))))
+        best = max(best, tried[-1], key=lambda x: x[1])
+    return best[0], [value for _, value in tried]
+
+
+@pytest.mark.parametrize("langs", [2, 5])
+def test_sets_of_languages_by_brute_force(langs):
+    rng = np.random.default_rng(langs)
+    docs = []
+    for d in range(60):
+        spoken = rng.choice(langs, 1 + d % min(langs, 3), replace=False)
+        word = rng.choice(spoken, int(rng.integers(1, 80)))
+        score = rng.normal(0, 1, (len(word), langs))
+        score[np.arange(len(word)), word] += rng.choice([0.3, 1.5, 4.0])
+        docs.append(score)
+    got = language_id.infer(np.concatenate(docs), np.r_[0, np.cumsum([len(s) for s in docs])])
+    sets = set()
+    for s, mine in zip(docs, got, strict=True):
+        want, values = _plain_choice(s)
+        top = sorted(values)[-2:]
+        if top[1] - top[0] < 2 * language_id.GAP:
+            continue  # a tie within the bound of the search
+        assert ((mine > 1e-3) == (want > 1e-3)).all() and np.allclose(mine, want, atol=0.02)
+        sets.add(int((want > 1e-3).sum()))
+    assert len(sets) > 1
+
+
+def test_settled_mixtures_are_within_the_gap():
+    rng = np.random.default_rng(3)
+    like = np.exp(rng.normal(0, 0.05, (400, 6))).astype(np.float32)  # close models: EM is slow
+    like /= like.max(axis=1, keepdims=True)
+    first, every = np.array([0, 1, 150, 400]), np.ones((3, 6), np.float32)
+    share, fit, gap = language_id._settle(like, first, every, language_id._mixture(like, first, every)[0])
+    for d in range(3):
+        part = like[first[d] : first[d + 1]].astype(float)
+        plain = np.full(6, 1 / 6)
+        for _ in range(20000):
+            r = part * plain
+            plain = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        best = np.log((part * plain).sum(axis=1)).sum()
+        assert fit[d] - 1e-3 <= best <= fit[d] + gap[d] + 1e-3 and share[d].sum() == pytest.approx(1)
+
 
 # decontamination
 

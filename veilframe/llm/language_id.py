@@ -3,9 +3,10 @@
 Every learned language has smoothed probabilities of hashed byte trigrams, counted over all labelled training
 texts.  A document is a mixture of languages: each of its words comes from one language, drawn with
 unknown proportions.  Expectation-maximisation estimates the proportions from the words'
-trigram likelihoods.  Sets of languages grow in the order of the estimated proportions, and the set
-with the best likelihood less ``log(words) / 2`` per further language is kept; its largest share is the
-prediction and that share the score.
+trigram likelihoods, in rounds that go on until no proportions can be better by more than ``GAP`` (or ``MOST`` rounds have
+run; what could still be gained is then known).  Sets of languages grow in the order of the estimated proportions, and the
+set with the best likelihood less ``log(words) / 2`` per further language is kept; its largest share is the
+prediction and that share the score.  Larger sets are tried only while the bound of the full mixture lets one win.
 
 Counting runs per task in dense tables of fixed size (65,536 buckets a language) and merges them by sum,
 so what is shuffled and collected depends on the number of languages, not of texts.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .textkernel import batches
 
 BUCKETS = 1 << 16
-ROUNDS = 8
+ROUNDS = 8  # of all documents together; then each goes on by itself
+MOST = 200
+GAP = 1e-2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[0x41:0x5B] += 32
 _FOLD[:0x41] = 0x20
@@ -85,6 +88,36 @@ def _mixture(like: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[
     return share, np.add.reduceat(np.log(mass), first[:-1])
 
 
+def _settle(like: np.ndarray, first: np.ndarray, allowed: np.ndarray, share: np.ndarray, enough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions, log likelihood, and the most that any proportions of the allowed languages could add to it.
+
+    The likelihood is concave, so its optimum is at most ``size * log(largest mean of like / mass)`` away.  A group stops
+    when that is under ``GAP``, or when no proportions reach its ``enough``.
+    """
+    size = np.diff(first)
+    share = share.astype(np.float64)
+    fit, gap = np.zeros(len(size)), np.zeros(len(size))
+    live, rows, cut = np.arange(len(size)), like, first
+    for turn in range(MOST):
+        own = size[live]
+        mass = np.maximum((rows * np.repeat(share[live].astype(np.float32), own, axis=0)).sum(axis=1), np.float32(1e-30))
+        fit[live] = np.add.reduceat(np.log(mass), cut[:-1], dtype=np.float64)
+        pull = np.add.reduceat(rows / mass[:, None], cut[:-1], axis=0, dtype=np.float64) / own[:, None] * (allowed[live] > 0)
+        gap[live] = own * np.log(np.maximum(pull.max(axis=1), 1))
+        moving = gap[live] > GAP + 1e-6 * own  # rounding of single precision
+        if enough is not None:
+            moving &= fit[live] + gap[live] > enough[live]
+        if not moving.any() or turn == MOST - 1:
+            break
+        if not moving.all():
+            rows = rows[np.repeat(moving, own)]
+            live, pull = live[moving], pull[moving]
+            cut = np.r_[0, np.cumsum(size[live])]
+        share[live] *= pull  # the EM step
+        share[live] /= share[live].sum(axis=1, keepdims=True)
+    return share, fit, gap
+
+
 def infer(score: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Language shares of each group of words from word log likelihoods (words x languages)."""
     like = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float32)
@@ -98,11 +131,27 @@ def infer(score: np.ndarray, first: np.ndarray) -> np.ndarray:
     value = alone[np.arange(n), top]
     if langs == 1:
         return shares
-    full, most = _mixture(like, first, np.ones((n, langs), np.float32))
     cost = 0.5 * np.log(np.maximum(size, 2))
-    open_ = np.flatnonzero(most - cost > value)  # no mixture of several beats the full one
-    if not len(open_):
-        return shares
+    every = np.ones((n, langs), np.float32)
+    full, _ = _mixture(like, first, every)
+    full, most, gap = _settle(like, first, every, full, value + cost)
+    most += gap  # no mixture is likelier
+    order = np.argsort(-full, axis=1, kind="stable")
+    for k in range(2, langs + 1):
+        open_ = np.flatnonzero(most - (k - 1) * cost > value)
+        if not len(open_):
+            break
+        sub = like[np.repeat(np.isin(np.arange(n), open_), size)]
+        cut = np.r_[0, np.cumsum(size[open_])]
+        allowed = np.zeros((len(open_), langs), np.float32)
+        np.put_along_axis(allowed, order[open_, :k], 1, axis=1)
+        share, _ = _mixture(sub, cut, allowed)
+        share, fit, _ = _settle(sub, cut, allowed, share)
+        fit -= (k - 1) * cost[open_]
+        better = fit > value[open_]
+        shares[open_[better]] = share[better]
+        value[open_[better]] = fit[better]
+    return shares
     rows = np.concatenate([np.arange(first[d], first[d + 1]) for d in open_])
     sub, cut = like[rows], np.r_[0, np.cumsum(size[open_])]
     order = np.argsort(-full[open_], axis=1, kind="stable")
