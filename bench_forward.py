@@ -45,15 +45,15 @@ def run(path: str) -> float:
     return time.time() - began
 
 
-def main() -> None:
+def measure() -> dict[str, object]:
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "model.safetensors")
         weights(path)
         with multiprocessing.Pool(CORES) as pool:
             seconds = pool.map(run, [path] * CORES, chunksize=1)
     layer = sum(TOKENS / s for s in seconds)
-    print(json.dumps({"metric": "projected forward throughput, full width and eight layers", "value": round(layer / FULL_LAYERS, 1), "unit": "tokens/sec", "cores": CORES, "one_layer_tokens_per_sec": round(layer, 1)}))
+    return {"metric": "projected forward throughput, full width and eight layers", "value": round(layer / FULL_LAYERS, 1), "unit": "tokens/sec", "cores": CORES, "one_layer_tokens_per_sec": round(layer, 1)}
 
 
 if __name__ == "__main__":
-    main()
+    print(json.dumps(measure()))

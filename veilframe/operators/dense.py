@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import swiglu
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -71,6 +73,19 @@ def dispatch(routed: DataFrame, chunk: int = 16) -> DataFrame:
     return routed.groupBy("expert").agg(F.count("*").alias("tokens"), F.ceil(F.count("*") / chunk).cast("long").alias("chunks"), F.sum("gate").alias("weight"))
 
 
+def experts(routed: DataFrame, weights: DataFrame) -> DataFrame:
+    """(pos, slot, i, y): gated outputs of the chosen experts, from rows (pos, slot, expert, gate, vec).
+
+    ``weights`` has one row an expert (expert, w1, b1, w2, b2) with one array of inputs per output; the first half of the
+    hidden outputs is the gate of the activation.  Both products run in the row, so nothing but the join moves; adaptive
+    execution sends the weights where they are small and splits a favoured expert.
+    """
+    hidden = F.transform("w1", lambda row, o: dot(row, F.col("vec")) + F.get("b1", o))
+    rows = routed.join(weights, "expert").withColumn("act", swiglu(hidden))
+    out = F.transform("w2", lambda row, o: (dot(row, F.col("act")) + F.get("b2", o)) * F.col("gate"))
+    return rows.select("pos", "slot", F.posexplode(out).alias("i", "y"))
+
+
 def reduce_slots(parts: DataFrame) -> DataFrame:
     """(pos, i, y): sum of the slots' outputs (pos, slot, i, y)."""
     return parts.groupBy("pos", "i").agg(F.sum("y").alias("y"))

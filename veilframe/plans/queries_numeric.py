@@ -61,6 +61,20 @@ def moe_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.reduce_slots(routed).select(F.col("pos").alias("vec_id"), "i", F.round("y", ROUND).alias("x"))
 
 
+def expert_mlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both products of the chosen experts with weights from a formula: 64 experts, 64 inputs, 8 hidden values."""
+    e = F.col("expert")
+    row = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    weights = spark.range(64).select(F.col("id").cast("int").alias("expert")).select(
+        "expert",
+        row(16, lambda o: row(64, lambda i: F.cos(e + 3 * o + 5 * i) / 8)).alias("w1"), row(16, lambda o: F.sin(e + o) / 4).alias("b1"),
+        row(64, lambda o: row(8, lambda i: F.sin(2 * e + o + 7 * i) / 2)).alias("w2"), row(64, lambda o: F.cos(e - o) / 4).alias("b2"),
+    )
+    vectors = _vectors(spark, sf_dir).select(F.col("vec_id").alias("pos"), F.transform("vec", lambda x: x * 40.0).alias("vec"))
+    parts = dense.experts(_routed(spark, sf_dir).withColumnRenamed("vec_id", "pos").join(vectors, "pos"), weights)
+    return dense.reduce_slots(parts).select(F.col("pos").alias("vec_id"), "i", F.round("y", ROUND).alias("x"))
+
+
 def rope_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     cos, sin = dense.rope_angles(F.col("vec_id").cast("double"), 64)
     rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip(cos.alias("c"), sin.alias("s"))).alias("i", "z"))
@@ -99,7 +113,7 @@ def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.label_islands(rows)
 
 
-QUERIES = {f.__name__: f for f in (argmax_labels, log_softmax, rms_norm, swiglu, router_topk, router_skip, expert_dispatch, moe_reduce, rope_tables, rope_apply, embedding_lookup, projection, band_attention, label_islands)}
+QUERIES = {f.__name__: f for f in (argmax_labels, log_softmax, rms_norm, swiglu, router_topk, router_skip, expert_dispatch, expert_mlp, moe_reduce, rope_tables, rope_apply, embedding_lookup, projection, band_attention, label_islands)}
 
 _E = "SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
 _U = f"SELECT vec_id, label, unnest(range(0, 64)) AS i, unnest(v) AS x FROM ({_E})"
@@ -122,6 +136,11 @@ ORACLES = {
     "router_skip": f"WITH {_ROUTED}, c AS (SELECT *, min((gate >= 0.8 * first_gate)::INT) OVER (PARTITION BY vec_id ORDER BY slot) AS keep FROM (SELECT *, max(gate) OVER (PARTITION BY vec_id) AS first_gate FROM routed)) SELECT vec_id, slot::INT AS slot, expert::INT AS expert, round(gate / sum(gate) OVER (PARTITION BY vec_id), {ROUND}) AS gate FROM c WHERE keep = 1",
     "expert_dispatch": f"WITH {_ROUTED} SELECT expert::INT AS expert, count(*) AS tokens, ceil(count(*) / 16.0)::BIGINT AS chunks, round(sum(gate), {ROUND}) AS weight FROM routed GROUP BY expert",
     "moe_reduce": f"WITH {_ROUTED} SELECT vec_id, i::INT AS i, round(sum(x * gate * (expert + 1)), {ROUND}) AS x FROM routed JOIN ({_U}) USING (vec_id) GROUP BY ALL",
+    "expert_mlp": f"""WITH {_ROUTED}, u AS ({_U}),
+        h AS (SELECT vec_id, slot, expert, gate, o, sum(40 * x * cos(expert + 3 * o + 5 * i) / 8) + any_value(sin(expert + o) / 4) AS h FROM routed JOIN u USING (vec_id), range(0, 16) t(o) GROUP BY vec_id, slot, expert, gate, o),
+        a AS (SELECT g.vec_id, g.slot, g.expert, g.gate, g.o AS j, least(g.h, 7) / (1 + exp(-1.702 * least(g.h, 7))) * (greatest(least(l.h, 7), -7) + 1) AS a FROM h g JOIN h l ON l.vec_id = g.vec_id AND l.slot = g.slot AND l.o = g.o + 8),
+        y AS (SELECT vec_id, slot, o, gate * (sum(a * sin(2 * expert + o + 7 * j) / 2) + any_value(cos(expert - o) / 4)) AS y FROM a, range(0, 64) t(o) GROUP BY vec_id, slot, o, gate, expert)
+        SELECT vec_id, o::INT AS i, round(sum(y), {ROUND}) AS x FROM y GROUP BY vec_id, o""",
     "rope_tables": f"WITH {_ROPE} SELECT vec_id, i::INT AS i, round(c, {ROUND}) AS c, round(s, {ROUND}) AS s FROM rope",
     "rope_apply": f"WITH {_ROPE}, u AS ({_U}) SELECT u.vec_id, u.i::INT AS i, round(CASE WHEN u.i % 2 = 0 THEN u.x * c - o.x * s ELSE u.x * c + o.x * s END, {ROUND}) AS x FROM u JOIN u o ON o.vec_id = u.vec_id AND o.i = xor(u.i, 1) JOIN rope ON rope.vec_id = u.vec_id AND rope.i = u.i // 2",
     "embedding_lookup": f"SELECT a.vec_id, a.label::BIGINT AS token, round(b.embedding[1]::DOUBLE, {ROUND}) AS x0, round(b.embedding[64]::DOUBLE, {ROUND}) AS x63 FROM embeddings a JOIN embeddings b ON b.vec_id = a.label",
