@@ -214,9 +214,9 @@ def _across(held: DataFrame, slim: DataFrame, reps: DataFrame, texts: DataFrame,
         return None
     spark, id_type = held.sparkSession, held.schema["id"].dataType.simpleString()
     sets = _sets_of(held.select("id"), reps, texts, n)
-    got = sets.mapInArrow(_crowding, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    got = sets.mapInArrow(_crowding, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows, as columns: row objects would take hundreds of MB
     crowd = np.zeros(SLOTS, np.int64)
-    crowd[got["slot"].to_numpy()] = got["n"]
+    crowd[got["slot"].to_numpy()] = got["n"].to_numpy()
     sent = spark.sparkContext.broadcast(crowd)
     lead = materialise(sets.mapInArrow(lambda it: _leading(it, sent, percent), f"id {id_type}, g long, place int").join(held, "id"), "op3-lead")
     met = lead.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("outside").alias("outside")).where("a < b and outside").select("g")
