@@ -11,7 +11,8 @@ class Config:
     ``skip_beta`` for expert skipping (0: off), ``span_cap`` spans per category and document (None: all),
     ``specials`` whether special-token literals in a text become special tokens, ``vocabulary`` a rank
     file (None: that of the model, or pretokens stand in for tokens), ``model`` the folder or weights file of a trained
-    model (None: rules score), ``linger_ms`` the micro-batch interval of streams."""
+    model (None: rules score), ``linger_ms`` the micro-batch interval of streams, ``rules`` pairs of category and pattern
+    that are applied one after another in place of the engine's own rules."""
 
     n_ctx: int = 4096
     batch: int = 16384
@@ -22,6 +23,7 @@ class Config:
     vocabulary: str | None = None
     model: str | None = None
     linger_ms: int = 8
+    rules: tuple[tuple[str, str], ...] | None = None
 
     def __post_init__(self) -> None:
         if self.n_ctx < 1 or self.batch < 1:

@@ -57,7 +57,8 @@ class RunStats(NamedTuple):
 def raw_spans(texts: list[str], tok: Tokenizer, scorer: Scorer, config: Config, stats: RunStats | None = None) -> list[list[dict]]:
     """Spans of each text before selection, in bytes of its UTF-8 form.
 
-    Texts of which the scorer knows without tokens that it finds nothing (``silent``) are not scored.
+    Texts of which the scorer knows without tokens that it finds nothing (``silent``) are not scored.  Where it knows the
+    bytes at which its spans begin and end (``cuts``), tokens are cut there, so that no span takes more than that.
     """
     out: list[list[dict]] = [[] for _ in texts]
     silent = getattr(scorer, "silent", None)
@@ -65,6 +66,10 @@ def raw_spans(texts: list[str], tok: Tokenizer, scorer: Scorer, config: Config,
     began = time.perf_counter()
     coded = [tok.encode(texts[i], getattr(scorer, "needs_ids", True)) for i in open_]
     ids, bounds = [c[0] for c in coded], [c[1] for c in coded]
+    n_tokens = sum(map(len, ids))
+    if cuts := getattr(scorer, "cuts", None):
+        whole, bounds = bounds, [np.union1d(b, cuts(texts[i])) for i, b in zip(open_, bounds, strict=True)]
+        ids = [i[np.searchsorted(w, b[:-1], side="right") - 1] for i, w, b in zip(ids, whole, bounds, strict=True)]
     offsets = np.r_[0, np.cumsum([len(i) for i in ids])].astype(np.int64)
     before = getattr(scorer, "batches", 0)
     ready = time.perf_counter()
@@ -82,7 +87,7 @@ def raw_spans(texts: list[str], tok: Tokenizer, scorer: Scorer, config: Config,
         if end > start:
             out[open_[d]].append({"label": CATEGORIES[c], "start": start, "end": end})
     if stats is not None:
-        for a, x in zip(stats, (len(texts), int(offsets[-1]), getattr(scorer, "batches", 1) - before, ready - began, scored - ready, time.perf_counter() - scored), strict=True):
+        for a, x in zip(stats, (len(texts), n_tokens, getattr(scorer, "batches", 1) - before, ready - began, scored - ready, time.perf_counter() - scored), strict=True):
             a.add(x)
     return out
 
@@ -128,7 +133,7 @@ def _detect(it: Iterator[pa.RecordBatch], ranks, config: Config, make_scorer: Ca
 
 
 def rule_scorer(config: Config) -> Scorer:
-    return RuleScorer()
+    return RuleScorer(config.rules)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
